@@ -1,8 +1,9 @@
 """Queries of the corpus operators, by the name under which they are registered."""
 
-from . import packing, simhash, token_counts
+from . import multiset_hash, packing, simhash, token_counts
 
 QUERIES = {
+    "op2_multiset_fingerprints": multiset_hash.op2_multiset_fingerprints,
     "op3_packing": packing.op3_packing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
