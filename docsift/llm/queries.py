@@ -1,8 +1,9 @@
 """Queries of the corpus operators, by the name under which they are registered."""
 
-from . import mixing, multiset_hash, packing, simhash, token_counts
+from . import mixing, multiset_hash, packing, simhash, token_counts, url_filter
 
 QUERIES = {
+    "op10_url_filter": url_filter.op10_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op2_multiset_fingerprints": multiset_hash.op2_multiset_fingerprints,
     "op3_packing": packing.op3_packing,
