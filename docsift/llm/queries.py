@@ -1,8 +1,9 @@
 """Queries of the corpus operators, by the name under which they are registered."""
 
-from . import html_extract, mixing, multiset_hash, packing, simhash, token_counts, url_filter
+from . import html_extract, mixing, multiset_hash, packing, quality, simhash, token_counts, url_filter
 
 QUERIES = {
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op10_url_filter": url_filter.op10_url_filter,
     "op9_mixing": mixing.op9_mixing,
