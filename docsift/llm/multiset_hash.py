@@ -124,9 +124,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     t = common.text_of(text_col)
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
     ids = src.select("id", "h", F.char_length("t").cast("long").alias("n")).groupBy("id", "h").agg(F.first("n").alias("n"))
-    before = common.written(previous(ids).withColumn("k", F.xxhash64("id")).drop("id"))
+    before = common.written(previous(ids).withColumn("k", F.xxhash64("id")))
     to_previous = [F.xxhash64("p_id").alias("k"), F.col("p_h").alias("h")]
-    rows = src.withColumn("k", F.xxhash64("id")).join(before, ["k", "h"])
+    texts = src.select(F.xxhash64("id").alias("k"), "h", "t")  # the ids come from before, so both uses share one exchange of texts
+    rows = texts.join(before, ["k", "h"])
     heads = rows.dropDuplicates(["k", "h"]).select(*to_previous, F.substring(F.col("t"), F.lit(1), _third(F.col("p_n"))).alias("head"))
     n = F.char_length("t")
     both = rows.join(heads, ["k", "h"]).select(
