@@ -1,8 +1,9 @@
 """Queries of the corpus operators, by the name under which they are registered."""
 
-from . import html_extract, langid, mixing, multiset_hash, packing, quality, simhash, token_counts, url_filter
+from . import html_extract, langid, mixing, multiset_hash, nndescent, packing, quality, simhash, token_counts, url_filter
 
 QUERIES = {
+    "op7_embedding_near_dedup": nndescent.op7_embedding_near_dedup,
     "op6_language_id": langid.op6_language_id,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op8_html_extraction": html_extract.op8_html_extraction,
