@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,10 +101,6 @@ def is_page_marker(line: Column) -> Column:
 
 def numeric_entities(c: Column) -> Column:
     """Decimal and hexadecimal character references decoded; others, and those beyond Unicode, stay."""
-    import re
-
-    import pandas as pd
-
     def one(m: re.Match) -> str:
         n = int(m[1]) if m[1] else int(m[2], 16)
         return chr(n) if 0 < n < 0x10FFFF and not 0xD800 <= n < 0xE000 else m[0]

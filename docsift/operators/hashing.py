@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,6 @@ HASH_LEVEL, HASH_ALERT = 4, 99
 
 def sm3(content: Column) -> Column:
     """SM3 as lower-case hexadecimal digits; the JVM has no SM3, so in Arrow batches."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else hashlib.new("sm3", bytes(b)).hexdigest())
