@@ -131,19 +131,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = rows.dropDuplicates(["k", "h"]).select(*to_previous, F.substring(F.col("t"), F.lit(1), _third(F.col("p_n"))).alias("head"))
     n = F.char_length("t")
     both = rows.join(heads, ["k", "h"]).select(
-        "k", "h", "id", "p_id", "p_h", "t", n.cast("long").alias("n_chars"),
+        "k", "h", "id", "t", n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("t"), F.lit(1), n - _third(n)), F.col("head")).alias("e"),
     )
-    by = ["k", "h", "id", "p_id", "p_h", "n_chars", "edited_sha256", "row"]
+    by = ["k", "h", "id", "n_chars", "edited_sha256", "row"]
     one = both.select(
         *by[:-2], F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.monotonically_increasing_id().alias("row"), "t", "e"
     )
     each = one.select(*by, F.posexplode(F.array("t", "e")).alias("edit", "x"))
     vecs = summed(each.select(*by, "edit", F.explode(_units(F.col("x"))).alias("u")), [*by, "edit"])
-    done = common.written(vecs.groupBy(*by).agg(
+    done = vecs.groupBy(*by).agg(
         F.max(F.when(F.col("edit") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("edit") == 1, F.col("v"))).alias("ev")
-    ))
-    nexts = done.dropDuplicates(["k", "h"]).select(*to_previous, F.col("v").alias("nv"))
+    )
+    # a document's vector is made once more for its predecessor: cheaper than to write and deal out whole results
+    sent = rows.dropDuplicates(["k", "h"]).select("k", "h", "p_id", "p_h", F.explode(_units(F.col("t"))).alias("u"))
+    nexts = summed(sent, ["k", "h", "p_id", "p_h"]).select(*to_previous, F.col("v").alias("nv"))
     return done.join(nexts, ["k", "h"]).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
         to_hex(F.col("v")).alias("fingerprint"), to_hex(F.col("ev")).alias("edited_fingerprint"),
