@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.columns import once
 from ..operators import alerts, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
+from ..sources import files
+from ..streaming import streams
 from . import sql
 from .packs import KEYWORD_ORDER, LATIN, OFFICIAL, OFFICIAL_COMPAT, Pack
 
@@ -564,6 +566,85 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("quality").cast("bigint").alias("quality"), F.col("toxic").cast("bigint").alias("toxic"), "verdict").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 0 THEN 'empty file' WHEN octet_length(encode(text)) > 6144 THEN 'file too large' END AS problem, hex(encode(text)[1:16]) AS head FROM documents")
+def read_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", files.read_problem(F.octet_length(c), 6144).alias("problem"), F.hex(files.head(c, 16)).alias("head"))
+
+
+@query("SELECT n, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS label FROM (SELECT DISTINCT n_chars * n_chars AS n FROM documents)")
+def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select((F.col("n_chars") * F.col("n_chars")).alias("n")).distinct()
+    return d.select("n", tx.size_text(F.col("n")).alias("label"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) >= 2048 AND octet_length(encode(text)) <= 4096 AS fits FROM documents")
+def policy_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", policy.size_filter(F.octet_length("text"), F.lit(2), F.lit(4)).alias("fits"))
+
+
+@query("SELECT md5(text) AS rule_content, 1000 + row_number() OVER (ORDER BY item_id) AS rule_id FROM benchmark")
+def rules_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
+    return hashing.rules_of(b, "content", "item_id").select("rule_content", "rule_id")
+
+
+@query("SELECT lang, source, n FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) = 1")
+def most_common_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.most_common(table(spark, sf_dir, "documents"), ["lang"], "source")
+
+
+@query("SELECT severity, code, count(*) AS n FROM (SELECT CASE WHEN octet_length(encode(text)) < 50 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN octet_length(encode(text)) < 50 THEN 2001 ELSE 2002 END::BIGINT AS code FROM documents WHERE octet_length(encode(text)) < 257) GROUP BY severity, code")
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.octet_length("text")
+    d = table(spark, sf_dir, "documents").where(n < 257).select(F.when(n < 50, "error").otherwise("warning").alias("severity"), F.when(n < 50, 2001).otherwise(2002).cast("bigint").alias("code"))
+    return reports.error_counts(d, "severity", "code")
+
+
+@query("SELECT source, array_to_string(list_sort(list(doc_id))[1:128], ',') AS ids FROM documents GROUP BY source")
+def capped_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.transform(alerts.capped_list(F.col("doc_id")), lambda x: x.cast("string")), ",")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(ids.alias("ids"))
+
+
+@query(f"SELECT doc_id, len(list_filter([{', '.join(map(sql.q, style.RED_HEADER_WORDS))}], lambda w: contains(text, w))) > 0 AS header, len(list_filter([{', '.join(map(sql.q, style.SEAL_WORDS))}], lambda w: contains(text, w))) > 0 AS seal FROM {golden_sql(OFFICIALS)}")
+def image_text_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden(spark, OFFICIALS).select("doc_id", style.red_header_hint(F.col("text")).alias("header"), style.seal_hint(F.col("text")).alias("seal"))
+
+
+_REASONS_SQL = """CASE WHEN total >= 0.6::DOUBLE THEN list_filter(['综合得分超过阈值，判定为公文', CASE WHEN copy_number <> '' THEN '包含份号: ' || copy_number END, CASE WHEN doc_number <> '' THEN '包含标准发文字号格式' END,
+ CASE WHEN title <> '' AND title_type <> '' THEN '包含公文标题格式(' || title_type || ')' END, CASE WHEN len(org) > 0 THEN '包含党政机关名称' END], lambda x: x IS NOT NULL)
+ ELSE list_filter(['综合得分未达到阈值，判定为非公文', CASE WHEN doc_number = '' THEN '缺少发文字号' END, CASE WHEN title = '' THEN '缺少公文标题格式' END, CASE WHEN issue_date = '' THEN '缺少成文日期' END, '未检测到红色版式元素',
+ CASE WHEN len(prohibited) > 0 THEN '包含非公文特征内容' END], lambda x: x IS NOT NULL) END"""
+
+
+@query(f"SELECT doc_id, array_to_string({_REASONS_SQL}, ';') AS reasons FROM (SELECT *, {_TOTAL} AS total FROM ({sql.facts(golden_sql(OFFICIALS), 'text', OFFICIAL, 'doc_id')}))")
+def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = score.scored(features.facts(golden(spark, OFFICIALS), "text", OFFICIAL))
+    return d.select("doc_id", F.array_join(score.reasons(), ";").alias("reasons"))
+
+
+_DESC_SQL = "'公文版式检测命中 (' || array_to_string(list_filter([CASE WHEN title_type <> '' THEN '文种: ' || title_type END, CASE WHEN len(org) > 0 THEN '发文机关: ' || array_to_string(org, '、') END, '置信度: ' || printf('%.1f%%', total * 100)], lambda x: x IS NOT NULL), '; ') || ')'"
+
+
+@query(f"SELECT doc_id, {_DESC_SQL} AS rule_desc, array_to_string(list_filter([doc_number, title, issue_date], lambda x: x <> ''), ' | ') AS matched FROM (SELECT *, {_TOTAL} AS total FROM ({sql.facts(golden_sql(OFFICIALS), 'text', OFFICIAL, 'doc_id')})) WHERE total >= 0.6::DOUBLE")
+def layout_alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = once(score.scored(features.facts(golden(spark, OFFICIALS), "text", OFFICIAL)), {"hit": alerts.layout_hit()})
+    return d.where("hit is not null").select("doc_id", "hit.rule_desc", "hit.matched")
+
+
+@query("SELECT event_type, count(*) FILTER (user_id % 2000 < 1024) AS inbound, count(*) FILTER (user_id % 2000 >= 1024) AS outbound FROM events GROUP BY event_type")
+def connection_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way = net.direction(F.col("user_id") % 2000)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(reports.count_if(way == "inbound").alias("inbound"), reports.count_if(way == "outbound").alias("outbound"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '10 minutes', ts)::VARCHAR AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def events_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = streams.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+    return e.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to alerts: type, facts, score, detectors by priority, alert records."""
     return alert_records(spark, sf_dir)
