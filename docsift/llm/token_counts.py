@@ -60,7 +60,7 @@ def count_tokens(
     distinct = keyed.groupBy("digest").agg(F.first("t").alias("t"))
     misses = distinct.join(cached(spark, cache_path, ver), "digest", "left_anti")
     _encoded(misses, tokenizer_path, ver).write.mode("append").parquet(cache_path)
-    counts = cached(spark, cache_path, ver)
+    counts = common.written(cached(spark, cache_path, ver))  # a plain table: a join with it can split the rows of one text's copies
     return keyed.drop("t").join(counts, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
