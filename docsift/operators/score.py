@@ -128,20 +128,23 @@ def scored(df: DataFrame, w: Weights = DEFAULT, style: str | None = None) -> Dat
 
     details maps every fact and adjustment that counts to what it adds.
     """
-    d = once(df, {"text_score": text_score(w), "style_score": style_score(w, style) if style else F.lit(0.0)})
-    joined = F.col("text_score") * F.lit(w.text_part) + F.col("style_score") * F.lit(w.style_part)
     shown = F.lit(False)
     if style:
         for f in STYLE_SHOWN:
             shown = shown | F.coalesce(F.col(f"{style}.{f}"), F.lit(False))
     more = adjustments(style)
-    total = F.when(shown, joined).otherwise(F.col("text_score"))
-    for part in more.values():
-        total = total + part
+    d = once(df, {
+        "text_score": text_score(w), "style_score": style_score(w, style) if style else F.lit(0.0), "_shown": shown, **{f"_{k}": v for k, v in more.items()}
+    })
+    joined = F.col("text_score") * F.lit(w.text_part) + F.col("style_score") * F.lit(w.style_part)
+    total = F.when(F.col("_shown"), joined).otherwise(F.col("text_score"))
+    for k in more:
+        total = total + F.col(f"_{k}")
     d = once(d, {"total_score": _clamp(total)})
-    parts = {**text_parts(w), **more}
+    parts = {**text_parts(w), **{k: F.col(f"_{k}") for k in more}}
     details = F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), lambda k, v: v != 0.0)
-    return d.withColumns({"is_official": F.col("total_score") >= w.threshold, "confidence": confidence_band(F.col("total_score")), "details": details})
+    d = d.withColumns({"is_official": F.col("total_score") >= w.threshold, "confidence": confidence_band(F.col("total_score")), "details": details})
+    return d.drop("_shown", *[f"_{k}" for k in more])
 
 
 def reasons(style: str | None = None) -> Column:
