@@ -1,18 +1,20 @@
-"""Quality by compression: zstandard dictionaries of good and bad text, and a calibrated size difference.
+"""Quality by compression: zstandard dictionaries of good and bad text, and calibrated size differences.
 
 Two dictionaries are trained on a bounded, documented sample of labelled texts (SAMPLE a class, least
 hashes of the id first, LEARN_CHARS of each), one on good and one on bad ones. A text is compressed in
-blocks of BLOCK bytes with either, so that the dictionary and not the text itself explains each block;
-(bad - good) / (the larger) of the two whole sizes, the longer the bad one the better, becomes a
-probability by a logistic fit on labelled texts that trained no dictionary, weighted to the true
-numbers of the classes. Scoring reads whole texts, row by row, without a shuffle.
+blocks of BLOCK bytes with either, so that the dictionary and not the text itself explains each block.
+Two normalised differences of the whole sizes count: (bad - good) / (the larger), and how far the
+smaller one lies from the raw size, on a log scale, as repetition is bad whatever it repeats. They, the
+square of the second and their product become a probability by a logistic fit on labelled texts that
+trained no dictionary, weighted to the true numbers of the classes. Scoring reads whole texts, row by
+row, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
-import pyarrow as pa
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +49,14 @@ def _compressor(data: bytes) -> zstandard.ZstdCompressor:
 class Model:
     """Dictionaries and calibration; score() gives a text's probability of being good."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, base: float = 0.0):
-        self.good, self.bad, self.slope, self.base = good, bad, slope, base
+    def __init__(self, good: bytes, bad: bytes, weights: list[float] | None = None, base: float = 0.0):
+        self.good, self.bad, self.weights, self.base = good, bad, weights or [0.0] * 4, base
         self._with = None
 
     def __getstate__(self):
         return {**self.__dict__, "_with": None}
 
-    def difference(self, data: bytes) -> float:
+    def features(self, data: bytes) -> list[float]:
         if self._with is None:
             self._with = _compressor(self.good), _compressor(self.bad)
         by_good, by_bad = self._with
@@ -63,30 +65,30 @@ class Model:
             block = data[i : i + BLOCK]
             g += len(by_good.compress(block))
             b += len(by_bad.compress(block))
-        return (b - g) / max(b, g, 1)
+        apart = (b - g) / max(b, g, 1)
+        shrunk = min(1.0, max(-4.0, math.log(max(1, min(g, b)) / max(1, len(data)))))
+        return [apart, shrunk, shrunk * shrunk, apart * shrunk]
 
     def score(self, data: bytes) -> float:
-        z = self.slope * self.difference(data) + self.base
+        z = self.base + sum(w * f for w, f in zip(self.weights, self.features(data)))
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def _calibrate(x: list[float], y: list[int], w: list[float]) -> tuple[float, float]:
-    """Slope and base of a weighted logistic fit by Newton's steps, lightly held towards 0."""
-    a, c = 0.0, 0.0
-    for _ in range(50):
-        ga, gc, haa, hac, hcc = -1e-4 * a, 0.0, 1e-4, 0.0, 1e-9
-        for xi, yi, wi in zip(x, y, w):
-            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, a * xi + c))))
-            r, v = wi * (yi - p), wi * p * (1 - p)
-            ga, gc = ga + r * xi, gc + r
-            haa, hac, hcc = haa + v * xi * xi, hac + v * xi, hcc + v
-        det = haa * hcc - hac * hac
-        da, dc = (hcc * ga - hac * gc) / det, (haa * gc - hac * ga) / det
-        size = max(abs(da) / 50, abs(dc) / 5, 1.0)  # a step is cut where the fit is near separable
-        a, c = a + da / size, c + dc / size
-        if abs(da) < 1e-6 and abs(dc) < 1e-6:
+def _calibrate(x: list[list[float]], y: list[int], w: list[float]) -> tuple[list[float], float]:
+    """Weights and base of a weighted logistic fit by Newton's steps, lightly held towards 0."""
+    a, y, w = np.array(x), np.array(y, float), np.array(w)
+    mean, scale = a.mean(axis=0), a.std(axis=0) + 1e-9
+    a = np.column_stack(((a - mean) / scale, np.ones(len(a))))
+    w, at, hold = w / w.mean(), np.zeros(a.shape[1]), 1e-3
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ at, -35, 35)))
+        bend = (a * (w * p * (1 - p))[:, None]).T @ a + hold * np.eye(len(at))
+        step = np.clip(np.linalg.solve(bend, a.T @ (w * (y - p)) - hold * at), -3, 3)  # cut where the fit is near separable
+        at = at + step
+        if np.abs(step).max() < 1e-8:
             break
-    return a, c
+    weights = at[:-1] / scale
+    return weights.tolist(), float(at[-1] - weights @ mean)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -108,17 +110,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SA
     if not got[0] or not got[1]:
         part = number.get(1, 0) / all_n if all_n else 0.5
         part = min(max(part, 1e-6), 1 - 1e-6)
-        return Model(b"", b"", 0.0, math.log(part / (1 - part)))
+        return Model(b"", b"", None, math.log(part / (1 - part)))
     cut = {y: max(1, len(t) * 3 // 5) for y, t in got.items()}
     model = Model(_dictionary(got[1][: cut[1]]), _dictionary(got[0][: cut[0]]))
     x, ys, w = [], [], []
     for y, t in got.items():
         rest = t[cut[y] :] or t
-        x += [model.difference(b) for b in rest]
+        x += [model.features(b) for b in rest]
         ys += [y] * len(rest)
         w += [number[y] / all_n / len(rest)] * len(rest)
-    scale = 1000.0
-    model.slope, model.base = _calibrate(x, ys, [scale * v for v in w])
+    model.weights, model.base = _calibrate(x, ys, w)
     return model
 
 
