@@ -138,7 +138,8 @@ def _local_joins(lists: DataFrame, nodes: DataFrame, near: int, threshold: float
     sizes = both.groupBy("p").agg(F.count("*").alias("c"), F.max("fresh").alias("any")).where("any").select("p", "c")
     salt = F.pmod(F.xxhash64("m", "p"), F.ceil(F.col("c") / MOST_PIVOT).cast("long"))
     least = lists.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("held"))
-    floor = least.select(F.col("u").alias("m"), F.when(F.col("held") >= near, F.col("least")).otherwise(F.lit(-2.0)).alias("floor"))
+    held = F.when(F.col("held") < near, -2.0).when(F.col("least") >= threshold, 2.0).otherwise(F.col("least"))  # saturated: enlarged later
+    floor = least.select(F.col("u").alias("m"), held.alias("floor"))
     many = F.lit(1 << 40)
     placed = both.join(sizes, "p").select("p", salt.alias("s"), "m", "fresh")
     info = nodes.select(F.col("node").alias("m"), "vec").join(floor, "m", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
@@ -203,6 +204,16 @@ def _audit(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     return nodes.select("node", "grp", "vec").mapInArrow(brute, "u long, v long")
 
 
+def _recall(truth: DataFrame, pairs: DataFrame, dense: DataFrame) -> float:
+    """The part of the audited links that a list holds or that the enlarged lists will."""
+    n = truth.count()
+    if not n:
+        return 1.0
+    of = lambda c: dense.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    listed = truth.join(pairs.withColumn("listed", F.lit(True)), ["u", "v"], "left").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return listed.where(F.col("listed") | (F.col("c_u") == F.col("c_v"))).count() / n
+
+
 def _dense_counts(dense: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(u, links): copies of the nodes linked to u, by comparing all members of its component in tiles. dense: node, component, size."""
     n = F.ceil(F.col("size") / TILE).cast("long")
@@ -252,26 +263,20 @@ def near_duplicates(
         new = common.written(_best(lists.withColumn("fresh", F.lit(False)).unionByName(joined), near))
         common.discard(lists)
         lists = new
-        if lists.where(F.col("fresh") & (F.col("sim") >= threshold)).take(1) and turn + 1 < ROUNDS:
-            continue
-        if truth is None:
-            truth = common.written(_audit(nodes, AUDIT, threshold))
         links = lists.where(F.col("sim") >= threshold)
         full = links.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= near).select("u")
-        pairs = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-        open_truth = truth.join(full, "u", "left_anti")  # saturated lists are enlarged below
-        r = open_truth.agg(F.count("*").alias("n")).first().n
-        hit = open_truth.join(pairs, ["u", "v"], "left_semi").count()
-        recall = hit / r if r else 1.0
+        if links.where("fresh").join(full, "u", "left_anti").take(1) and turn + 1 < ROUNDS:
+            continue  # a list that isn't saturated has got a link
+        pairs = common.written(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+        label = common.written(common.connected_components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+        dense_of = label.join(full.withColumnRenamed("u", "node"), "node", "left_semi").select("component").distinct().join(sizes, "component")
+        dense = common.written(label.join(dense_of, "component"))
+        if truth is None:
+            truth = common.written(_audit(nodes, AUDIT, threshold))
+        recall = _recall(truth, pairs, dense)
         if recall >= RECALL:
             break
-    links = lists.where(F.col("sim") >= threshold)
-    pairs = common.written(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = common.written(common.connected_components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    full = links.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= near).select(F.col("u").alias("node"))
-    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-    dense_of = label.join(full, "node", "left_semi").select("component").distinct().join(sizes, "component")
-    dense = common.written(label.join(dense_of, "component"))
     counted = _dense_counts(dense, nodes, threshold)
     plain = pairs.join(dense.select(F.col("node").alias("u")), "u", "left_anti").join(
         nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("links"))
