@@ -52,10 +52,11 @@ def trigrams(text: str) -> np.ndarray:
 
 
 class Model:
-    """languages, and table[bucket, language]: log-likelihoods."""
+    """languages, table[bucket, language]: log-likelihoods, and the least mean log-likelihood a trigram of each language's texts."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
+    def __init__(self, languages: list[str], table: np.ndarray, least: np.ndarray | None = None):
         self.languages, self.table = languages, table
+        self.least = np.full(len(languages), -np.inf) if least is None else least
 
     def segments(self, text: str) -> np.ndarray:
         """Log-likelihoods by segment and language."""
@@ -66,6 +67,19 @@ class Model:
             parts.append(np.add.reduceat(self.table[part], np.arange(0, len(part), SEGMENT), axis=0, dtype=np.float64))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
 
+    def surplus(self, text: str) -> float | None:
+        """By how much a trigram is likelier than the limit, each segment under the language that explains it best.
+
+        None without letters or languages. At least 0: text of the languages, however many it has.
+        """
+        segs = self.segments(text)
+        if not segs.size:
+            return None
+        n = len(trigrams(text))
+        length = np.full(len(segs), SEGMENT)
+        length[-1] = n - SEGMENT * (len(segs) - 1)
+        return float((segs - length[:, None] * self.least).max(axis=1).sum() / n)
+
     def mixtures(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, float]]]]:
         """For each text the language, its score, and the set kept with proportions; und, 0, [] without letters.
 
@@ -150,7 +164,29 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAM
         columns = np.array([where[x] for x in found.column("lang").to_pylist()])
         counts[found.column("bucket").to_numpy(), columns] = found.column("n").to_numpy()
     table = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS))
-    return Model(languages, np.ascontiguousarray(table, np.float32))
+    return Model(languages, np.ascontiguousarray(table, np.float32), _least(counts))
+
+
+def _least(counts: np.ndarray) -> np.ndarray:
+    """For each language halfway between its own trigrams (each left out in turn) and those it never had."""
+    n = counts.sum(axis=0)
+    rest = np.maximum(n - 1, 0) + SMOOTHING * BUCKETS
+    own = (counts * np.log(np.maximum(counts - 1, 0) + SMOOTHING)).sum(axis=0) / np.maximum(n, 1) - np.log(rest)
+    never = np.log(SMOOTHING / (n + SMOOTHING * BUCKETS))
+    return np.where(n > 0, (own + never) / 2, np.inf)
+
+
+def with_surplus(docs: DataFrame, model: Model, text_col: str = "text", name: str = "surplus") -> DataFrame:
+    """docs with Model.surplus of the text; null where there is none."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each of MOST_LANGUAGES at most
+
+    @F.pandas_udf("double")
+    def surplus(t):
+        import pandas as pd
+
+        return pd.Series([held.value.surplus(x) for x in t], dtype="float64")
+
+    return docs.withColumn(name, surplus(common.text_of(text_col)))
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
