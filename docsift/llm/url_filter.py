@@ -3,8 +3,10 @@
 A page's rule is the longest that fits its host (or a parent domain) and the start of its path. Rules
 also seed the hosts: a host's trust seed is the part of its pages that allow rules fit, its distrust
 seed the part that block rules fit. Personalised PageRank spreads trust along the links between hosts
-and distrust against them; both stay within 0 and 1. A host is blocked if its distrust exceeds its trust
-and reaches the threshold, half of what a host with only blocked pages and no links has.
+and distrust against them; both stay within 0 and 1. Distrust sent back is shared by all that link to a
+host, so it shrinks as they grow in number; a host is therefore judged by its risk, which is distrust
+averaged over the host's own links instead. It is blocked if its risk exceeds its trust and reaches the
+threshold, half of what a host with only blocked pages and no links has.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagated(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of every seeded or linked host. seeds: host, trust, distrust; links: src, dst, n.
+    """(host, trust, distrust, risk) of every seeded or linked host. seeds: host, trust, distrust; links: src, dst, n.
 
     Each round is one sum over links each way, written to shared storage; it ends when no score moves
     by more than the tolerance. Hosts without links never enter a round.
@@ -60,7 +62,7 @@ def propagated(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rou
     own = (1 - damping)
     links = common.written(links)
     if common.is_empty(links):
-        return seeds.select("host", (own * F.col("trust")).alias("trust"), (own * F.col("distrust")).alias("distrust"))
+        return seeds.select("host", (own * F.col("trust")).alias("trust"), *[(own * F.col("distrust")).alias(c) for c in ("distrust", "risk")])
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("in"))
     flows = common.written(links.join(out, "src").join(into, "dst").select(
@@ -70,24 +72,27 @@ def propagated(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rou
     base = common.written(linked.join(seeds, "host", "left").select(
         "host", (own * F.coalesce("trust", F.lit(0.0))).alias("t0"), (own * F.coalesce("distrust", F.lit(0.0))).alias("d0")
     ))
-    now = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    now = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"), F.col("d0").alias("risk"))
     for _ in range(rounds):
         sent = flows.join(now.select(F.col("host").alias("src"), "trust"), "src").select(
-            F.col("dst").alias("host"), (damping * F.col("trust") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d")
-        ).unionByName(flows.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").select(
-            F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("distrust") * F.col("back")).alias("d")
-        )).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+            F.col("dst").alias("host"), (damping * F.col("trust") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d"), F.lit(0.0).alias("r")
+        ).unionByName(flows.join(now.select(F.col("host").alias("dst"), "distrust", "risk"), "dst").select(
+            F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("distrust") * F.col("back")).alias("d"),
+            (damping * F.col("risk") * F.col("ahead")).alias("r"),
+        )).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"), F.sum("r").alias("r"))
         new = common.written(base.join(sent, "host", "left").join(now, "host").select(
             "host", (F.col("t0") + F.coalesce("t", F.lit(0.0))).alias("new_trust"),
-            (F.col("d0") + F.coalesce("d", F.lit(0.0))).alias("new_distrust"), "trust", "distrust",
+            (F.col("d0") + F.coalesce("d", F.lit(0.0))).alias("new_distrust"),
+            (F.col("d0") + F.coalesce("r", F.lit(0.0))).alias("new_risk"), "trust", "distrust", "risk",
         ))
-        moved = new.agg(F.max(F.greatest(F.abs(F.col("new_trust") - F.col("trust")), F.abs(F.col("new_distrust") - F.col("distrust")))).alias("m")).first()["m"]
+        change = [F.abs(F.col(f"new_{c}") - F.col(c)) for c in ("trust", "distrust", "risk")]
+        moved = new.agg(F.max(F.greatest(*change)).alias("m")).first()["m"]
         common.discard(now)
-        now = new.select("host", F.col("new_trust").alias("trust"), F.col("new_distrust").alias("distrust"))
+        now = new.select("host", F.col("new_trust").alias("trust"), F.col("new_distrust").alias("distrust"), F.col("new_risk").alias("risk"))
         now._docsift_path = new._docsift_path
         if moved <= TOLERANCE:
             break
-    alone = seeds.join(linked, "host", "left_anti").select("host", (own * F.col("trust")).alias("trust"), (own * F.col("distrust")).alias("distrust"))
+    alone = seeds.join(linked, "host", "left_anti").select("host", (own * F.col("trust")).alias("trust"), *[(own * F.col("distrust")).alias(c) for c in ("distrust", "risk")])
     return now.unionByName(alone)
 
 
@@ -109,7 +114,7 @@ def judge(
         F.avg(F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)).alias("distrust"),
     ))
     scores = propagated(seeds, host_links(pages, url_col, html_col), damping)
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping))
+    bad = (F.col("risk") > F.col("trust")) & (F.col("risk") >= threshold * (1 - damping))
     return ruled.join(scores, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.coalesce("by_rule", F.when(bad & (F.col("host") != ""), "block").otherwise("allow")).alias("verdict"), "trust", "distrust",

@@ -52,3 +52,12 @@ def test_links_spread_scores(spark):
 
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_farm_of_hosts_linking_to_one_blocked_host(spark):
+    link = lambda *hs: "".join(f'<a href="https://{h}/x">x</a>' for h in hs)
+    rows = [(0, "http://spam.net/a", "", None, None)]
+    rows += [(i, f"http://farm{i}.com/a", link("spam.net"), None, None) for i in range(1, 41)]
+    rows += [(100 + i, f"http://fair{i}.com/a", link("spam.net", "a.com", "b.com", "c.com"), None, None) for i in range(10)]
+    got = {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == "block" for i in range(41)) and all(got[100 + i] == "allow" for i in range(10))
