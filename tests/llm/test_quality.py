@@ -1,6 +1,10 @@
 import random
 import zlib
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from docsift.llm import quality
 
 SCHEMA = "doc_id long, text string, score string, y int"
@@ -44,3 +48,32 @@ def test_tiny_sample_falls_back_to_raw_dictionaries(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], LABELS)
     got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
     assert got[1] > got[0]
+
+
+@pytest.mark.parametrize("sf,good,bad", [("sf0.001", 0.95, 0.6), ("sf0.01", 0.95, 0.85), ("sf0.1", 0.99, 0.95)])
+def test_held_out_documents_of_the_given_tables(spark, sf, good, bad):
+    at = f"/root/testdata/{sf}"
+    got = quality.op5_quality_classifier(spark, at).where("held_out")
+    both = got.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    part = {r.quality: r.p for r in both.where("quality is not null").groupBy("quality").agg(F.avg("predicted").alias("p")).collect()}
+    assert part[1] >= good and 1 - part[0] >= bad
+
+
+def test_weights_are_never_negative():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 400)
+    x = np.column_stack((rng.normal(y, 1.0), rng.normal(-2.0 * y, 1.0)))
+    weights, _ = quality.calibrated(x, y, np.ones(400))
+    assert weights[0] > 0 and weights[1] == 0
+
+
+def test_whole_text_counts_and_repeats_stay(spark):
+    rng = random.Random(3)
+    rows = [(i, t, "", 0) for i, _, t in texts(rng, 600)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(600)]
+    bad = " ".join(t for i, t, *_ in rows if i % 4 == 0)
+    late = rows[1][1] + " " + bad * 3  # good only in its first words
+    docs = spark.createDataFrame([*rows, (700, late, "", 0), (700, late, "", 0), (701, "", "", 0), (702, None, "", 0)], SCHEMA)
+    got = quality.classify(docs, spark.createDataFrame(labels, LABELS)).where("doc_id >= 700").collect()
+    score = {r.doc_id: r.score for r in got}
+    assert len(got) == 4 and score[700] < 0.3 and score[701] == score[702]
