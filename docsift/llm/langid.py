@@ -1,12 +1,14 @@
 """Languages of a document as a mixture, by expectation-maximisation over n-gram likelihoods.
 
 The model holds each language's log-likelihoods of hashed letter trigrams, learnt from a bounded,
-documented sample of labelled texts (SAMPLE a language on average, LEARN_CHARS of each, MOST_LANGUAGES
-at most, the frequent ones first). A whole text is cut into segments of SEGMENT trigrams; expectation-
-maximisation finds the proportions of languages that make its segments likeliest. The same is done with
-only the best one, two and three languages, and the set of least penalised likelihood
-(-2 log-likelihood + PENALTY log segments for every further language) is kept. All texts of an Arrow
-batch are worked out together; nothing is shuffled.
+documented sample of labelled texts (SAMPLE a language on average, whole texts), for every language
+that has labels. A whole text is cut into segments of SEGMENT trigrams; expectation-maximisation finds
+the proportions of languages that make its segments likeliest. The set of languages minimises the
+penalised likelihood, -2 log-likelihood + PENALTY log segments for every further language: from the
+likeliest single one it grows by the language along which the likelihood rises most, and then loses
+those of least proportion, as long as that lowers the cost. As the likelihood is concave in the
+proportions, that rise bounds what a language can bring, so most texts end with their first one. All
+texts of an Arrow batch are worked out together; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,10 +24,8 @@ FOLDS, HELD = 4, 2
 BUCKETS = 1 << 16
 SEGMENT = 24
 SAMPLE = 2000
-LEARN_CHARS = 4096
-MOST_LANGUAGES = 64
-MOST_SET = 3
-ROUNDS = 12
+ROUNDS, STILL = 200, 1e-3
+DENSE = 64
 PENALTY = 8.0
 SHARPNESS = 20.0
 SMOOTHING = 0.5
@@ -41,41 +41,75 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 
 def trigrams(text: str) -> np.ndarray:
     """Hashed trigrams around every letter, lower-cased, other characters as blanks."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = f" {text.lower()} "
+    parts = [_hashed(low[i : i + _CHUNK + 2]) for i in range(0, max(1, len(low) - 2), _CHUNK)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _hashed(low: str) -> np.ndarray:
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters(c)
-    if not letter.any():
-        return np.zeros(0, np.int64)
+    if not letter[1:-1].any():
+        return np.zeros(0, np.uint16)
     c = np.where(letter, c, 32).astype(np.uint64)
     g = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)
-    return g[letter[1:-1]].astype(np.int64)
+    return g[letter[1:-1]].astype(np.uint16)
 
 
 class Model:
-    """languages, table[bucket, language]: log-likelihoods, and the least mean log-likelihood a trigram of each language's texts."""
+    """languages; log-likelihoods by bucket and language; the least mean log-likelihood a trigram of each language's texts.
 
-    def __init__(self, languages: list[str], table: np.ndarray, least: np.ndarray | None = None):
-        self.languages, self.table = languages, table
-        self.least = np.full(len(languages), -np.inf) if least is None else least
+    Counts are held by bucket as found (start, language, gain over a trigram never seen), so that many
+    languages take no more room than the trigrams they have; up to DENSE languages also as a table.
+    """
 
-    def segments(self, text: str) -> np.ndarray:
-        """Log-likelihoods by segment and language."""
+    def __init__(self, languages: list[str], buckets: np.ndarray, of: np.ndarray, counts: np.ndarray):
+        self.languages, n = languages, len(languages)
+        total = np.bincount(of, counts, minlength=n)
+        self.never = np.log(SMOOTHING / (total + SMOOTHING * BUCKETS))
+        order = np.argsort(buckets, kind="stable")
+        self.start = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+        self.of = of[order].astype(np.int32)
+        self.gain = np.log1p(counts[order] / SMOOTHING)
+        rest = np.maximum(total - 1, 0) + SMOOTHING * BUCKETS  # of a language's own trigrams, each left out in turn
+        own = np.bincount(of, counts * np.log(np.maximum(counts - 1, 0) + SMOOTHING), minlength=n) / np.maximum(total, 1) - np.log(rest)
+        self.least = np.where(total > 0, (own + self.never) / 2, np.inf)  # halfway between its own trigrams and those it never had
+        self.table = None
+        if n <= DENSE:
+            self.table = np.repeat(self.never[None], BUCKETS, axis=0).astype(np.float32)
+            self.table[buckets[order], self.of] += self.gain
+
+    def segments(self, text: str) -> tuple[np.ndarray, int]:
+        """Log-likelihoods by segment and language, and the number of trigrams."""
         g = trigrams(text)
-        parts = []
-        for i in range(0, len(g), _CHUNK // SEGMENT * SEGMENT):
-            part = g[i : i + _CHUNK // SEGMENT * SEGMENT]
-            parts.append(np.add.reduceat(self.table[part], np.arange(0, len(part), SEGMENT), axis=0, dtype=np.float64))
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
+        parts, step, n = [], _CHUNK // SEGMENT * SEGMENT, len(self.languages)
+        for i in range(0, len(g), step):
+            part = g[i : i + step]
+            cuts = np.arange(0, len(part), SEGMENT)
+            if self.table is not None:
+                parts.append(np.add.reduceat(self.table[part], cuts, axis=0, dtype=np.float64))
+                continue
+            for j in range(0, len(cuts), 1024):
+                some = part[j * SEGMENT : (j + 1024) * SEGMENT]
+                first = self.start[some]
+                many = self.start[some + np.int32(1)] - first
+                at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+                row = np.repeat(np.arange(len(some)) // SEGMENT, many)
+                rows = -(-len(some) // SEGMENT)
+                gains = np.bincount(row * n + self.of[at], self.gain[at], minlength=rows * n).reshape(rows, n)
+                length = np.bincount(np.arange(len(some)) // SEGMENT)
+                parts.append(gains + length[:, None] * self.never)
+        return (np.concatenate(parts) if parts else np.zeros((0, n))), len(g)
 
     def surplus(self, text: str) -> float | None:
         """By how much a trigram is likelier than the limit, each segment under the language that explains it best.
 
         None without letters or languages. At least 0: text of the languages, however many it has.
         """
-        segs = self.segments(text)
+        segs, n = self.segments(text)
         if not segs.size:
             return None
-        n = len(trigrams(text))
         length = np.full(len(segs), SEGMENT)
         length[-1] = n - SEGMENT * (len(segs) - 1)
         return float((segs - length[:, None] * self.least).max(axis=1).sum() / n)
@@ -88,7 +122,7 @@ class Model:
         none = ("und", 0.0, [])
         if not self.languages:
             return [none] * len(texts)
-        segs = [self.segments(t) for t in texts]
+        segs = [self.segments(t)[0] for t in texts]
         at = [k for k, s in enumerate(segs) if len(s)]
         out: list = [none] * len(texts)
         if not at:
@@ -96,21 +130,10 @@ class Model:
         size = np.array([len(segs[k]) for k in at])
         ll = np.concatenate([segs[k] for k in at])
         starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        doc = np.repeat(np.arange(len(at)), size)
         top = ll.max(axis=1, keepdims=True)
         like = np.exp(np.maximum(ll - top, -700))
-        full, _ = _em(like, doc, starts, size, np.ones((len(at), len(self.languages)), bool))
         means = np.add.reduceat(ll, starts, axis=0) / size[:, None]
-        order = np.argsort(-(full + 1e-9 * (means - means.max(axis=1, keepdims=True))), axis=1, kind="stable")
-        best, kept = np.full(len(at), np.inf), None
-        for k in range(1, min(MOST_SET, len(self.languages)) + 1):
-            allowed = np.zeros((len(at), len(self.languages)), bool)
-            np.put_along_axis(allowed, order[:, :k], True, axis=1)
-            pi, fit = _em(like, doc, starts, size, allowed)
-            cost = -2 * fit + PENALTY * (k - 1) * np.log(size + 1)
-            better = cost < best - 1e-9
-            kept = pi if kept is None else np.where(better[:, None], pi, kept)
-            best = np.where(better, cost, best)
+        kept = _chosen(like, size, means)
         clear = np.exp(SHARPNESS / SEGMENT * (means - means.max(axis=1, keepdims=True)))
         clear /= clear.sum(axis=1, keepdims=True)
         for n, k in enumerate(at):
@@ -120,65 +143,94 @@ class Model:
         return out
 
 
-def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by text and language, and each text's log-likelihood (to a constant of the text)."""
+def _em(like: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text: proportions of the allowed languages, log-likelihood (to a constant of the text), its rise along each language."""
+    starts, doc = np.concatenate(([0], np.cumsum(size)[:-1])), np.repeat(np.arange(len(size)), size)
     pi = allowed / allowed.sum(axis=1, keepdims=True)
-    if (allowed.sum(axis=1) > 1).any():
-        for _ in range(ROUNDS):
-            r = like * pi[doc]
-            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-            pi = np.add.reduceat(r, starts, axis=0) / size[:, None]
-    fit = np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-300))
-    return pi, np.add.reduceat(fit, starts)
+    several = allowed.sum(axis=1).max(initial=0) > 1
+    for _ in range(ROUNDS if several else 0):
+        r = like * pi[doc]
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+        last, pi = pi, np.add.reduceat(r, starts, axis=0) / size[:, None]
+        if np.abs(pi - last).max() < STILL:
+            break
+    mix = np.maximum((like * pi[doc]).sum(axis=1), 1e-300)
+    rise = np.add.reduceat(like / mix[:, None], starts, axis=0) - size[:, None]
+    return pi, np.add.reduceat(np.log(mix), starts), rise
+
+
+def _chosen(like: np.ndarray, size: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Proportions by text of the set of least penalised likelihood; the segments of like are the texts', one after the other."""
+    one = np.zeros(means.shape, bool)
+    one[np.arange(len(size)), np.argmax(means, axis=1)] = True
+    pi, fit, rise = _em(like, size, one)
+    price = PENALTY * np.log(size + 1)
+    cost = -2 * fit
+
+    def attempt(at: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Take the sets of texts at where they cost less; which did."""
+        rows = np.repeat(np.isin(np.arange(len(size)), at), size)
+        p, f, up = _em(like[rows], size[at], allowed)
+        c = -2 * f + price[at] * (allowed.sum(axis=1) - 1)
+        better = c < cost[at] - 1e-9
+        where = at[better]
+        one[where], pi[where], rise[where], cost[where] = allowed[better], p[better], up[better], c[better]
+        return where
+
+    at = np.arange(len(size))
+    while len(at):  # grow
+        best = np.argmax(np.where(one[at], -np.inf, rise[at]), axis=1)
+        hope = ~one[at].all(axis=1) & (2 * rise[at, best] > price[at])
+        at, best = at[hope], best[hope]
+        more = one[at].copy()
+        more[np.arange(len(at)), best] = True
+        at = attempt(at, more) if len(at) else at
+    at = np.flatnonzero(one.sum(axis=1) > 1)
+    while len(at):  # shrink
+        less = one[at].copy()
+        less[np.arange(len(at)), np.argmin(np.where(one[at], pi[at], np.inf), axis=1)] = False
+        at = attempt(at, less)
+        at = at[one[at].sum(axis=1) > 1]
+    return pi
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows outside the held fold; null texts and languages teach nothing."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (common.fold(id_col, folds) != held))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    number = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
-    if not number:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
+    number = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     languages = sorted(r.lang for r in number)
-    part = F.lit(0.0)
-    for r in number:
-        part = F.when(F.col("lang") == r.lang, F.lit(min(1.0, sample / r.n))).otherwise(part)
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < part * 1_000_000)
-    drawn = drawn.select("lang", F.substring("t", 1, LEARN_CHARS).alias("t"))
+    none = np.zeros(0, np.int64)
+    if not number:
+        return Model([], none, none, none)
+    where = {name: i for i, name in enumerate(languages)}
+    parts = docs.sparkSession.createDataFrame([(r.lang, where[r.lang], min(1.0, sample / r.n)) for r in number], "lang string, place int, part double")
+    drawn = known.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < F.col("part") * 1_000_000)
+
+    def summed(held):
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
 
     def count(batches):
-        counts: dict[str, np.ndarray] = {}
+        held, size = [], 0
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1)):
-                c = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                c += np.bincount(trigrams(t.as_py()), minlength=BUCKETS)
-        for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
-
-    sums = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS, len(languages)))
-    found = sums.toArrow()  # BUCKETS rows a language at most
-    if found.num_rows:
-        where = {name: i for i, name in enumerate(languages)}
-        columns = np.array([where[x] for x in found.column("lang").to_pylist()])
-        counts[found.column("bucket").to_numpy(), columns] = found.column("n").to_numpy()
-    table = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS))
-    return Model(languages, np.ascontiguousarray(table, np.float32), _least(counts))
-
-
-def _least(counts: np.ndarray) -> np.ndarray:
-    """For each language halfway between its own trigrams (each left out in turn) and those it never had."""
-    n = counts.sum(axis=0)
-    rest = np.maximum(n - 1, 0) + SMOOTHING * BUCKETS
-    own = (counts * np.log(np.maximum(counts - 1, 0) + SMOOTHING)).sum(axis=0) / np.maximum(n, 1) - np.log(rest)
-    never = np.log(SMOOTHING / (n + SMOOTHING * BUCKETS))
-    return np.where(n > 0, (own + never) / 2, np.inf)
+            for place, t in zip(b.column(0), b.column(1)):
+                held.append(trigrams(t.as_py()) + np.int64(place.as_py() * BUCKETS))
+                size += len(held[-1])
+                if size >= 1 << 22:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
+
+    found = drawn.select("place", "t").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
+    key, n = found.column("key").to_numpy(), found.column("n").to_numpy()
+    return Model(languages, key % BUCKETS, key // BUCKETS, n)
 
 
 def with_surplus(docs: DataFrame, model: Model, text_col: str = "text", name: str = "surplus") -> DataFrame:
     """docs with Model.surplus of the text; null where there is none."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each of MOST_LANGUAGES at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams that each language has, BUCKETS at most
 
     @F.pandas_udf("double")
     def surplus(t):
@@ -191,7 +243,7 @@ def with_surplus(docs: DataFrame, model: Model, text_col: str = "text", name: st
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and mixture (array of language and proportion)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each of MOST_LANGUAGES at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams that each language has, BUCKETS at most
     kind = "lang_pred string, score double, mixture array<struct<language:string,proportion:double>>"
 
     @F.pandas_udf(kind)
@@ -224,4 +276,10 @@ def identify(docs: DataFrame, folds: int = FOLDS, held: int = HELD, id_col: str
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, mixture for every row of documents.
+
+    Null texts and texts without a letter are und with score 0; a tie goes to the language of lower code
+    points, so equal texts have equal results; a null id is held out or not as the empty text; repeated
+    rows stay; an empty table gives no rows; other columns are ignored.
+    """
     return identify(common.table(spark, sf_dir, "documents"))

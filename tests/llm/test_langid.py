@@ -1,5 +1,8 @@
 import random
 import zlib
+from itertools import combinations
+
+import numpy as np
 
 from docsift.llm import langid
 
@@ -36,3 +39,63 @@ def test_nothing_learnt(spark):
     df = spark.createDataFrame([(1, "some text", None, "", 0)], SCHEMA)
     assert langid.identify(df).first().lang_pred == "und"
     assert langid.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def spoken(n, seed=5):
+    """n made-up languages, each of its own words."""
+    rng = random.Random(seed)
+    return {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(60)] for k in range(n)}
+
+
+def test_every_language_is_learnt_also_beyond_the_table(spark):
+    rng, words = random.Random(1), spoken(langid.DENSE + 16)
+    rows = [(i, " ".join(rng.choices(words[k], k=60)), k, "", 0) for i, k in enumerate(list(words) * 6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert sum(got[r[0]].lang_pred == r[2] for r in held) >= 0.98 * len(held)
+    five = list(words)[3:78:15]
+    model = langid.fit(df)
+    mixed = " ".join(" ".join(rng.choices(words[k], k=120)) for k in five)
+    [(_, _, share)] = model.mixtures([mixed])
+    assert {k for k, _ in share} == set(five) and all(abs(p - 0.2) < 0.05 for _, p in share)
+
+
+def test_table_and_found_counts_agree(spark):
+    rng, words = random.Random(2), spoken(5)
+    rows = [(i, " ".join(rng.choices(words[k], k=40)), k, "", 0) for i, k in enumerate(list(words) * 20)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    text = " ".join(r[1] for r in rows) * 3
+    a, n = model.segments(text)
+    model.table = None
+    b, m = model.segments(text)
+    assert n == m and a.shape == b.shape and np.abs(a - b).max() < 1e-3
+
+
+def test_the_set_is_the_best_of_all_sets():
+    rng = np.random.default_rng(4)
+    size = np.array([30, 8, 60, 1, 25, 40])
+    ll = rng.normal(-100, 2, (size.sum(), 4))
+    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+    for d, langs in enumerate([(0,), (1, 2), (0, 1, 3), (2,), (0, 1, 2, 3), (3,)]):
+        for i in range(size[d]):
+            ll[starts[d] + i, langs[i % len(langs)]] += 12
+    like = np.exp(ll - ll.max(axis=1, keepdims=True))
+    means = np.add.reduceat(ll, starts, axis=0) / size[:, None]
+    got = langid._chosen(like, size, means)
+    for d, n in enumerate(size):
+        part, cost = like[starts[d] : starts[d] + n], {}
+        for k in range(1, 5):
+            for chosen in combinations(range(4), k):
+                allowed = np.zeros((1, 4), bool)
+                allowed[0, list(chosen)] = True
+                _, fit, _ = langid._em(part, np.array([n]), allowed)
+                cost[chosen] = -2 * fit[0] + langid.PENALTY * np.log(n + 1) * (k - 1)
+        assert tuple(np.flatnonzero(got[d])) == min(cost, key=cost.get)
+
+
+def test_long_text_is_read_in_parts(monkeypatch):
+    text = "Ünïcode text with several words. " * 50
+    whole = langid.trigrams(text)
+    monkeypatch.setattr(langid, "_CHUNK", 240)
+    assert np.array_equal(langid.trigrams(text), whole)
