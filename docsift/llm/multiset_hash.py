@@ -4,14 +4,20 @@ A fingerprint is a wide vector summed over the paragraphs (the pieces between li
 so it does not depend on their order, and adding or subtracting a paragraph's vector inserts or
 deletes it. A paragraph's vector has two parts:
 
-* 8 numbers of 32 bits hashed from the whole paragraph, summed modulo 2^32: equal multisets of
-  paragraphs have equal sums, others differ but for a chance of 2^-256;
-* for likeness, 120 counters, summed from the paragraph's pieces of two words: how often each of 120
-  bits of the pieces' hashes was set. 3 counters of 20 bits share a 64-bit word; one more word counts
-  the pieces. A counter as set minus unset bits is a sum of random signs, so the squared distance of
-  two fingerprints estimates how many pieces differ (from 2^20 pieces a text on, counters run over).
-
+* the 8 words of 32 bits of its SHA-256, summed modulo 2^32: equal multisets of paragraphs have equal
+  sums; others differ but for a chance of 2^-256 (texts made up to collide are another matter);
+* for likeness, 128 counters, summed from the paragraph's pieces: how often each of 128 bits of the
+  pieces' hashes was set. Two counters of 32 bits share a word, which is enough for any text that Spark
+  holds; one more word counts the pieces. A counter as set minus unset bits is a sum of random signs, so
+  the squared distance of two fingerprints estimates how many pieces differ.
+
+Pieces are all pairs of neighbouring tokens of a paragraph with what is between them, and its last token
+alone. A token is a run of up to RUN characters other than white space; characters of scripts written
+without spaces get a blank on either side first.
 Likeness is 1 - |x - y|^2 / (|x|^2 + |y|^2), within 0 and 1: the part of pieces in common.
+
+An edited text's fingerprint is made by deletion and insertion: only paragraphs from the edit on are
+hashed again.
 """
 
 from __future__ import annotations
@@ -21,39 +27,48 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXACT = 8
-HASHES = 2  # of a piece; 60 counters each
-COUNTER = 20
-_LANES = sum(1 << COUNTER * k for k in range(3))
-_WORDS = [f"x{i}" for i in range(EXACT)] + [f"l{h}_{j}" for h in range(HASHES) for j in range(COUNTER)] + ["n"]
+EXACT, HASHES, RUN = 8, 2, 32
+_ALONE = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+_TOKEN = rf"\S{{1,{RUN}}}+"
+PIECE = rf"(?=({_TOKEN}(?:[^\S\n]*+{_TOKEN})?)){_TOKEN}"
+_WORDS = [f"l{h}_{j}" for h in range(HASHES) for j in range(32)] + ["n"]
+_LENGTH = EXACT + len(_WORDS)
 
 
 def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def _units(text: Column) -> Column:
-    """The hashes of a text's paragraphs and of their pieces: array of (whole, a, b, c, d)."""
-    paragraphs = F.split(text, "\n", -1)
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(r"\S+(?:\s+\S+)?"), F.lit(0))))
+_LOW = 0xFFFFFFFF
+
+
+def _exact(text: Column) -> Column:
+    """The paragraphs' SHA-256 words, summed; null has no paragraph."""
+    digests = F.coalesce(F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p.cast("binary"), 256)), F.array().cast("array<string>"))
+    word = lambda d, k: F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long")
+    words = F.transform(digests, lambda d: F.array(*[word(d, k) for k in range(EXACT)]))
+    return F.aggregate(words, F.array_repeat(_long(0), EXACT), lambda s, w: F.zip_with(s, w, lambda a, b: (a + b).bitwiseAND(_long(_LOW))))
 
-    def hashed(p: Column, whole: bool) -> Column:
-        of = lambda salt: F.xxhash64(p, F.lit(salt)) if whole or salt < 3 else _long(0)
-        return F.struct(F.lit(whole).alias("whole"), *[of(k).alias(f) for k, f in enumerate("abcd", 1)])
 
-    return F.concat(F.transform(paragraphs, lambda p: hashed(p, True)), F.transform(pieces, lambda p: hashed(p, False)))
+def _spaced(text: Column) -> Column:
+    """The text with blanks around characters of scripts written without them."""
+    plain = (F.octet_length(text) == F.char_length(text)) | ~F.rlike(text, F.lit(_ALONE))
+    return F.when(plain, text).otherwise(F.regexp_replace(text, f"({_ALONE})", " $1 "))
 
 
-def summed(units: DataFrame, by: list[str]) -> DataFrame:
-    """by and v (the vector) from units u, one struct of _units() a row."""
-    u = lambda f: F.col(f"u.{f}")
-    low = _long(0xFFFFFFFF)
-    of = lambda w, c: F.sum(F.when(u("whole") if w else ~u("whole"), c).otherwise(_long(0)))
-    exact = [of(True, part) for f in "abcd" for part in (u(f).bitwiseAND(low), F.shiftrightunsigned(u(f), 32))]
-    likely = [of(False, F.shiftrightunsigned(u("ab"[h]), j).bitwiseAND(_long(_LANES))) for h in range(HASHES) for j in range(COUNTER)]
-    sums = [c.alias(w) for c, w in zip([*exact, *likely, of(False, _long(1))], _WORDS)]
-    words = [F.col(w).bitwiseAND(low) if w[0] == "x" else F.col(w) for w in _WORDS]
-    return units.groupBy(*by).agg(*sums).select(*by, F.array(*words).alias("v"))
+def _counted(texts: DataFrame, by: list[str], text: str = "x") -> DataFrame:
+    """by (which is distinct) and c, the counters of the text's pieces; no row for a text without any."""
+    pieces = texts.select(*by, F.explode(F.regexp_extract_all(_spaced(F.col(text)), F.lit(PIECE), F.lit(1))).alias("piece"))
+    first = pieces.select(*by, F.xxhash64("piece").alias("u0"))
+    hashed = first.select(*by, "u0", *[F.xxhash64(F.lit(k), "u0").alias(f"u{k}") for k in range(1, HASHES)])
+    pair = _long(1 + (1 << 32))
+    sums = [F.sum(F.shiftrightunsigned(f"u{h}", j).bitwiseAND(pair)).alias(f"l{h}_{j}") for h in range(HASHES) for j in range(32)]
+    return hashed.groupBy(*by).agg(*sums, F.count("*").alias("n")).select(*by, F.array(*_WORDS).alias("c"))
+
+
+def _or_none(c: str) -> Column:
+    """The counters, or those of no piece."""
+    return F.coalesce(c, F.array_repeat(_long(0), len(_WORDS)))
 
 
 def to_hex(v: Column) -> Column:
@@ -62,15 +77,15 @@ def to_hex(v: Column) -> Column:
 
 def _lanes(v: Column) -> Column:
     """The counters as set minus unset bits."""
-    n, most = F.element_at(v, len(_WORDS)), _long((1 << COUNTER) - 1)
-    return F.flatten(F.transform(F.slice(v, EXACT + 1, COUNTER * HASHES), lambda w: F.array(*[
-        2 * F.shiftrightunsigned(w, COUNTER * k).bitwiseAND(most) - n for k in range(3)
+    n = F.element_at(v, _LENGTH).cast("double")
+    return F.flatten(F.transform(F.slice(v, EXACT + 1, 32 * HASHES), lambda w: F.array(*[
+        2.0 * F.shiftrightunsigned(w, 32 * k).bitwiseAND(_long(_LOW)).cast("double") - n for k in range(2)
     ])))
 
 
 def likeness(x: Column, y: Column) -> Column:
     """Likeness of two fingerprint vectors, 0 to 1; 1 if all words are equal."""
-    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e * e)
     a, b = _lanes(x), _lanes(y)
     both = square(a) + square(b)
     apart = square(F.zip_with(a, b, lambda p, q: p - q))
@@ -80,13 +95,19 @@ def likeness(x: Column, y: Column) -> Column:
 def added(x: Column, y: Column, sign: int = 1) -> Column:
     """The vector after paragraphs with vector y are inserted into x (sign 1) or deleted from it (-1)."""
     sums = F.zip_with(x, y, lambda p, q: p + q * sign)
-    return F.transform(sums, lambda e, i: F.when(i < EXACT, e.bitwiseAND(_long(0xFFFFFFFF))).otherwise(e))
+    return F.transform(sums, lambda e, i: F.when(i < EXACT, e.bitwiseAND(_long(_LOW))).otherwise(e))
 
 
 def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and v, the vector, for every row; null text counts as empty, that is one empty paragraph."""
-    rows = docs.select(F.col(id_col), common.text_of(text_col).alias("_t"), F.monotonically_increasing_id().alias("_row"))
-    return summed(rows.select(id_col, "_row", F.explode(_units(F.col("_t"))).alias("u")), [id_col, "_row"]).drop("_row")
+    """id_col and v, the vector, for every row; null text counts as empty, that is one empty paragraph.
+
+    Equal texts are hashed once; rows are joined to their texts' vectors.
+    """
+    t = common.text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("k"), F.xxhash64(F.lit(1), t).alias("h"), t.alias("x"))
+    texts = rows.select("k", "h", "x").dropDuplicates(["k", "h"])
+    whole = texts.select("k", "h", _exact(F.col("x")).alias("e")).join(_counted(texts, ["k", "h"]), ["k", "h"], "left")
+    return rows.select("id", "k", "h").join(whole, ["k", "h"]).select(F.col("id").alias(id_col), F.concat("e", _or_none("c")).alias("v"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,33 +145,37 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     t = common.text_of(text_col)
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
     ids = src.select("id", "h", F.char_length("t").cast("long").alias("n")).groupBy("id", "h").agg(F.first("n").alias("n"))
-    before = common.written(previous(ids).withColumn("k", F.xxhash64("id")))
-    to_previous = [F.xxhash64("p_id").alias("k"), F.col("p_h").alias("h")]
-    texts = src.select(F.xxhash64("id").alias("k"), "h", "t")  # the ids come from before, so both uses share one exchange of texts
-    rows = texts.join(before, ["k", "h"])
-    heads = rows.dropDuplicates(["k", "h"]).select(*to_previous, F.substring(F.col("t"), F.lit(1), _third(F.col("p_n"))).alias("head"))
+    key = ["k", "h"]
+    before = common.written(previous(ids).select(
+        F.xxhash64("id").alias("k"), "h", F.xxhash64("p_id").alias("p_k"), "p_h", "p_n"))
+    texts = src.select(F.xxhash64("id").alias("k"), "h", "t").dropDuplicates(key).join(before, key)
+    heads = texts.select(F.col("p_k").alias("k"), F.col("p_h").alias("h"), F.substring(F.col("t"), F.lit(1), _third(F.col("p_n"))).alias("head"))
     n = F.char_length("t")
-    both = rows.join(heads, ["k", "h"]).select(
-        "k", "h", "id", "t", n.cast("long").alias("n_chars"),
-        F.concat(F.substring(F.col("t"), F.lit(1), n - _third(n)), F.col("head")).alias("e"),
-    )
-    by = ["k", "h", "id", "n_chars", "edited_sha256", "row"]
-    one = both.select(
-        *by[:-2], F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.monotonically_increasing_id().alias("row"), "t", "e"
+    stays = F.substring(F.col("t"), F.lit(1), n - _third(n))
+    both = texts.join(heads, key).select(*key, "p_k", "p_h", n.cast("long").alias("n_chars"), "t", stays.alias("stays"), "head")
+    both = both.withColumn("rest", F.substring_index("stays", "\n", -1))  # of the paragraph that the edit cuts
+    kept = F.char_length("stays") - F.char_length("rest")
+    parts = {  # paragraphs before the cut one; the others as they were, and as they become
+        "kept": F.when(kept > 0, F.substring(F.col("stays"), F.lit(1), kept - 1)),
+        "old": F.substring(F.col("t"), kept + 1, n), "new": F.concat("rest", "head"),
+    }
+    each = both.select(*key, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), x.alias("x")) for p, x in parts.items()])).alias("s"))
+    counts = _counted(each.select(*key, "s.part", "s.x"), [*key, "part"])
+    count_of = [F.max(F.when(F.col("part") == p, F.col("c"))).alias(f"c_{p}") for p in parts]
+    facts = both.select(
+        *key, "p_k", "p_h", "n_chars", F.sha2(F.concat("stays", "head").cast("binary"), 256).alias("edited_sha256"),
+        *[_exact(x).alias(f"e_{p}") for p, x in parts.items()],
     )
-    each = one.select(*by, F.posexplode(F.array("t", "e")).alias("edit", "x"))
-    vecs = summed(each.select(*by, "edit", F.explode(_units(F.col("x"))).alias("u")), [*by, "edit"])
-    done = vecs.groupBy(*by).agg(
-        F.max(F.when(F.col("edit") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("edit") == 1, F.col("v"))).alias("ev")
-    )
-    # a document's vector is made once more for its predecessor: cheaper than to write and deal out whole results
-    sent = rows.dropDuplicates(["k", "h"]).select("k", "h", "p_id", "p_h", F.explode(_units(F.col("t"))).alias("u"))
-    nexts = summed(sent, ["k", "h", "p_id", "p_h"]).select(*to_previous, F.col("v").alias("nv"))
-    return done.join(nexts, ["k", "h"]).select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        to_hex(F.col("v")).alias("fingerprint"), to_hex(F.col("ev")).alias("edited_fingerprint"),
+    vector = lambda p: F.concat(f"e_{p}", _or_none(f"c_{p}"))
+    done = common.written(facts.join(counts.groupBy(*key).agg(*count_of), key, "left").select(
+        *key, "p_k", "p_h", "n_chars", "edited_sha256", added(vector("kept"), vector("old")).alias("v"), added(vector("kept"), vector("new")).alias("ev")
+    ))
+    nexts = done.select(F.col("p_k").alias("k"), F.col("p_h").alias("h"), F.col("v").alias("nv"))
+    result = done.join(nexts, key).select(
+        *key, "n_chars", "edited_sha256", to_hex(F.col("v")).alias("fingerprint"), to_hex(F.col("ev")).alias("edited_fingerprint"),
         likeness(F.col("v"), F.col("ev")).alias("near_edited"), likeness(F.col("v"), F.col("nv")).alias("near_next"),
     )
+    return src.select("id", F.xxhash64("id").alias("k"), "h").join(result, key).select(F.col("id").alias(id_col), *result.columns[2:])
 
 
 def _third(n: Column) -> Column:
@@ -158,4 +183,10 @@ def _third(n: Column) -> Column:
 
 
 def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of documents.
+
+    Null text is empty: one empty paragraph. Null ids come last in the order, rows of one id follow each
+    other by descending text hash, repeated rows count once and all get that result; a table of one row
+    is its own next. An empty table gives no rows; other columns are ignored.
+    """
     return edited_fingerprints(common.table(spark, sf_dir, "documents"))
