@@ -1,13 +1,13 @@
 """Packing documents into near-equal windows by Karmarkar-Karp multiway differencing.
 
 A document is its token ids and one end id. What fills whole windows is cut off first and needs no
-partner; the rest is cut into halves, quarters and so on, down to
-a least piece, so that small pieces even out what large ones leave. Each partition packs its pieces in batches of a fixed
-number of windows: every piece starts as a partial partition of the batch into windows (itself and
-empty ones), and the two partial partitions of widest spread merge, the fullest windows of one meeting
-the emptiest of the other, until one partition is left. Where a window of it passes the capacity, the
-batch is parted again into one window more. Batches carry what doesn't fit over to the next; the few
-tokens that fill no window at a partition's end become windows of power-of-two length.
+partner; the rest of a document, or a short document, is one item. Each partition packs its items in
+batches of a fixed number of windows: every item starts as a partial partition of the batch into windows
+(itself and empty ones), and the two partial partitions of widest spread merge, the fullest windows of
+one meeting the emptiest of the other, until one partition is left. Where a window of it passes the
+capacity, the batch is parted again into one window more. Whole documents can't always be even; what
+still passes the capacity is cut off and goes to the emptiest windows. So most documents stay in one
+piece. The tokens that fill no window at a partition's end become windows of power-of-two length.
 
 No token is shuffled: a partition reads, encodes, cuts and packs in one pass, holding one batch.
 """
@@ -29,8 +29,7 @@ from . import bpe, common
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 1
-WINDOWS = 64
-LEAST = 32
+WINDOWS = 256
 
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
@@ -64,13 +63,42 @@ def differencing(sizes: list[int], windows: int) -> np.ndarray:
     return of
 
 
-def balanced(sizes: list[int], windows: int, capacity: int) -> np.ndarray:
-    """differencing() into windows, or as many more as keep every window within capacity."""
-    while True:
-        of = differencing(sizes, windows)
-        if np.bincount(of, sizes, minlength=1).max(initial=0) <= capacity:
-            return of
+def balanced(sizes: list[int], windows: int, capacity: int) -> tuple[np.ndarray, int]:
+    """differencing() into windows, or into one more where a window would pass the capacity; and their number."""
+    of = differencing(sizes, windows)
+    if np.bincount(of, sizes, minlength=1).max(initial=0) > capacity:
         windows += 1
+        of = differencing(sizes, windows)
+    return of, windows
+
+
+Piece = tuple[int, int, int]
+
+
+def within_capacity(into: list[list[Piece]], capacity: int) -> list[list[Piece]]:
+    """The windows' pieces (document, start, length), with what passes the capacity cut off and put where most room is."""
+    loose, room = [], []
+    for w, pieces in enumerate(into):
+        over = sum(n for _, _, n in pieces) - capacity
+        while over > 0:
+            k = max(range(len(pieces)), key=lambda i: pieces[i][2])
+            doc, s, n = pieces[k]
+            take = min(n, over)
+            loose.append((doc, s + n - take, take))
+            pieces[k : k + 1] = [(doc, s, n - take)] if take < n else []
+            over -= take
+        if over < 0:
+            room.append((over, w))
+    heapq.heapify(room)
+    for doc, s, n in sorted(loose, key=lambda p: (-p[2], p)):
+        while n:
+            free, w = heapq.heappop(room)
+            take = min(n, -free)
+            into[w].append((doc, s, take))
+            s, n = s + take, n - take
+            if take < -free:
+                heapq.heappush(room, (free + take, w))
+    return into
 
 
 def powers(n: int) -> list[int]:
@@ -80,23 +108,19 @@ def powers(n: int) -> list[int]:
 class _Packer:
     """Packs the pieces of one partition; rows are (document's row, start, length, sequence, offset)."""
 
-    def __init__(self, capacity: int, windows: int, least: int, first: int):
-        self.capacity, self.least, self.next = capacity, least, first
-        self.fill = windows * capacity - 2 * windows
+    def __init__(self, capacity: int, windows: int, first: int):
+        self.capacity, self.next, self.fill = capacity, first, windows * capacity
         self.wait, self.held, self.rows = [], 0, []
 
     def add(self, doc: int, n: int) -> None:
         full = n // self.capacity * self.capacity
         for s in range(0, full, self.capacity):
             self.put([(doc, s, self.capacity)])
-        while full < n:
-            left = n - full
-            take = left if left <= self.least else (left + 1) // 2
-            if self.held + take > self.fill:
+        if full < n:
+            if self.held + n - full > self.fill:
                 self.flush()
-            self.wait.append((doc, full, take))
-            self.held += take
-            full += take
+            self.wait.append((doc, full, n - full))
+            self.held += n - full
 
     def put(self, pieces: list[tuple[int, int, int]]) -> None:
         at = 0
@@ -108,17 +132,18 @@ class _Packer:
     def flush(self) -> None:
         if not self.wait:
             return
-        of = balanced([p[2] for p in self.wait], max(1, -(-self.held // self.capacity)), self.capacity)
-        into: dict[int, list] = {}
+        of, windows = balanced([p[2] for p in self.wait], max(1, -(-self.held // self.capacity)), self.capacity)
+        into: list[list[Piece]] = [[] for _ in range(windows)]
         for p, w in zip(self.wait, of.tolist()):
-            into.setdefault(w, []).append(p)
-        for w in sorted(into):
-            self.put(into[w])
+            into[w].append(p)
+        for pieces in within_capacity(into, self.capacity):
+            if pieces:
+                self.put(pieces)
         self.wait, self.held = [], 0
 
     def close(self) -> None:
         """What is left: full windows as before, then windows of power-of-two length."""
-        over = self.held % (self.capacity - 2) if self.held >= self.capacity else self.held
+        over = self.held % self.capacity
         tail = []
         while over and self.wait:
             doc, s, n = self.wait.pop()
@@ -144,12 +169,13 @@ class _Packer:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int | None = END, windows: int = WINDOWS,
-    least: int = LEAST, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if with_ids.
 
     Null text counts as empty, so only its end id is packed; with end=None an empty text has no row.
-    Repeated rows are packed each; other columns are ignored. sequence_id holds the partition's number
+    Repeated rows are packed each; items of one size keep the order of their rows, so ties need no other
+    rule; an empty table gives no rows; other columns are ignored. sequence_id holds the partition's number
     in its upper bits: it is unique and gapless only within a partition.
     """
     src = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("t"))
@@ -158,7 +184,7 @@ def pack(
 
     def run(batches):
         encode = bpe.encoder(tokenizer_path)
-        packer = _Packer(capacity, windows, least, TaskContext.get().partitionId() << 32)
+        packer = _Packer(capacity, windows, TaskContext.get().partitionId() << 32)
         known: dict[int, tuple] = {}  # rows with a piece that waits
         n = 0
 
@@ -200,4 +226,9 @@ def pack(
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null text is empty: its end id alone is packed. Repeated rows are packed each, items of one size in
+    the order of their rows; an empty table gives no rows; other columns are ignored.
+    """
     return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)

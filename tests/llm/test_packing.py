@@ -57,8 +57,35 @@ def test_differencing_is_near_equal(windows):
 
 
 def test_window_count_rises_beyond_capacity():
-    of = packing.balanced([60, 60, 60], 2, 100)
-    assert np.bincount(of, [60, 60, 60]).max() <= 100 and len(set(of.tolist())) == 3
+    of, windows = packing.balanced([60, 60, 60], 2, 100)
+    assert windows == 3 and np.bincount(of, [60, 60, 60]).max() <= 100 and len(set(of.tolist())) == 3
+
+
+def test_what_passes_the_capacity_is_cut_off():
+    rng = random.Random(4)
+    for _ in range(50):
+        into = [[(10 * w + k, 0, rng.randrange(1, 90)) for k in range(rng.randrange(0, 4))] for w in range(8)]
+        whole = {d: n for ps in into for d, _, n in ps}
+        into += [[] for _ in range(max(0, -(-sum(whole.values()) // 100) - len(into)))]
+        got = packing.within_capacity([list(p) for p in into], 100)
+        assert all(sum(n for *_, n in ps) <= 100 for ps in got)
+        parts = {}
+        for d, s, n in (p for ps in got for p in ps):
+            parts.setdefault(d, []).append((s, n))
+        for d, n in whole.items():
+            at = 0
+            for s, m in sorted(parts[d]):
+                assert s == at and m > 0
+                at += m
+            assert at == n
+
+
+def test_given_documents_stay_whole_with_little_padding(spark):
+    got = packing.op3_packing(spark, "/root/testdata/sf0.01")
+    short = got.where("doc_tokens <= 2048").groupBy("doc_id").count().agg({"count": "avg"}).first()[0]
+    sizes = [r[0] for r in got.groupBy("sequence_id").agg({"length": "sum"}).select("sum(length)").collect()]
+    padding = sum(packing.CAPACITY - n for n in sizes if n & (n - 1))
+    assert short <= 1.3 and padding <= 0.01 * sum(sizes)
 
 
 def test_encoder_gives_the_librarys_ids():
