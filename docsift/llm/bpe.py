@@ -8,14 +8,30 @@ import hashlib
 import json
 import os
 from collections.abc import Callable
+from importlib import metadata
 
 import numpy as np
 
 
 def version(path: str) -> str:
-    """Digest of the file that defines the encoding."""
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+    """Digest of all that defines the ids of encoder(path): files, splitting pattern, library and its release."""
+    of, beside = hashlib.sha256(), _ranks(path)
+    for name in [path, *([beside] if beside else [])]:
+        with open(name, "rb") as f:
+            of.update(hashlib.sha256(f.read()).digest())
+    library = "sentencepiece" if path.endswith(".model") else "tiktoken" if beside else "tokenizers"
+    of.update(f"{library} {metadata.version(library)}".encode())
+    if beside:
+        import public_tokenizers
+
+        of.update(public_tokenizers.PATTERN.encode())
+    return of.hexdigest()
+
+
+def _ranks(path: str) -> str | None:
+    """The same vocabulary as byte ranks, if it lies beside."""
+    beside = path.removesuffix(".json") + ".tiktoken"
+    return beside if path.endswith(".json") and os.path.exists(beside) else None
 
 
 @functools.lru_cache(maxsize=4)
@@ -38,8 +54,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     slow.no_truncation()
     slow.no_padding()
     plain = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-    beside = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(beside):
+    beside = _ranks(path)
+    if not beside:
         return plain
     import public_tokenizers
     import tiktoken

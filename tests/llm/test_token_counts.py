@@ -36,3 +36,22 @@ def test_cache_answers_and_grows(spark):
     assert got == {0: 1002, 1: 2}
     assert token_counts.cached(spark, cache, ver).count() == 3
     assert token_counts.count_tokens(df(), path, cache).count() == 0
+
+
+def test_filled_cache_is_hit_and_only_misses_are_encoded(spark, monkeypatch):
+    cache = common.shared_dir(spark)
+    at = common.shared_dir(spark)
+    rows = [(i, f"text number {i % 30} of several") for i in range(100)] + [(200, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    one = {r.doc_id: tuple(r) for r in token_counts.op4_token_counts(spark, at, cache).collect()}
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 31
+    again = {r.doc_id: tuple(r) for r in token_counts.op4_token_counts(spark, at, cache).collect()}
+    assert again == one and spark.read.parquet(cache).count() == 31
+    more = spark.createDataFrame([*rows, (300, "a new text"), (301, "a new text")], "doc_id long, text string")
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    for limit, text in ((token_counts.BROADCAST, "a new text"), (0, "another new text")):
+        monkeypatch.setattr(token_counts, "BROADCAST", limit)
+        got = {r.doc_id: tuple(r) for r in token_counts.count_tokens(more.replace("a new text", text), path, cache).collect()}
+        assert {k: v for k, v in got.items() if k < 300} == one and got[300][1:] == got[301][1:]
+    assert spark.read.parquet(cache).count() == 33
