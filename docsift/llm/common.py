@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A new folder path below spark.checkpoint.dir.
+
+    Where that is unset, a session in one process gets a temporary folder of its own; on a cluster there
+    is no folder that all executors are known to share, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docsift-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
