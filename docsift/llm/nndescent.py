@@ -4,8 +4,10 @@ Only vectors of one label and length are compared, by cosine in double precision
 node with a number of copies. Neighbour lists start from random-hyperplane blocks (TABLES of them, of
 about BLOCK nodes; a crowded block is dealt into several) and are refined by NN-descent: whatever is
 near a node, in either direction, is compared with one another, and lists keep the NEAR best. Rounds go
-on while they find links, and until an audit against brute force over a sample of AUDIT nodes reaches
-RECALL; each further round adds new tables.
+on while they find links (ROUNDS at most, and no fewer than LEAST_NEW of all), then the result is audited
+against brute force over a sample of nodes, enlarged from AUDIT up to MOST_AUDIT until it holds ENOUGH
+true links. Below RECALL the descent goes on with new tables, RETRIES times; if recall is still lower, all
+pairs of a label are compared, in tiles. A sample without a link has no recall: it is null, not 1.
 
 A list of links alone is saturated: its node may have more. Its list is enlarged to its whole component,
 the closure of neighbours of neighbours, whose members are all compared, in tiles of TILE by TILE, so
@@ -26,10 +28,10 @@ TABLES = 5
 BLOCK = 128
 MOST_BLOCK = 256
 NEAR = 8
-TILE = 128
-AUDIT = 256
+TILE = 512
+AUDIT, MOST_AUDIT, ENOUGH = 256, 4096, 300
 RECALL = 0.97
-ROUNDS = 6
+ROUNDS, LEAST_NEW, RETRIES = 8, 0.001, 4
 PIVOTS = 32
 MOST_PIVOT = 64
 PAIRS = "u long, v long, sim double"
@@ -196,19 +198,53 @@ def _audit(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
                 if name in held.value:
                     at = np.flatnonzero(g == name)
                     u, x = held.value[name]
-                    i, j = np.nonzero(x @ unit(b.column(2).take(pa.array(at))).T >= threshold)
-                    other = node[at][j]
-                    keep = u[i] != other
-                    yield pa.RecordBatch.from_arrays([pa.array(u[i][keep], pa.int64()), pa.array(other[keep], pa.int64())], names=["u", "v"])
+                    y = unit(b.column(2).take(pa.array(at))).T
+                    for k in range(0, len(u), 256):
+                        i, j = np.nonzero(x[k : k + 256] @ y >= threshold)
+                        one, other = u[k + i], node[at][j]
+                        keep = one != other
+                        yield pa.RecordBatch.from_arrays([pa.array(one[keep], pa.int64()), pa.array(other[keep], pa.int64())], names=["u", "v"])
 
     return nodes.select("node", "grp", "vec").mapInArrow(brute, "u long, v long")
 
 
-def _recall(truth: DataFrame, pairs: DataFrame, dense: DataFrame) -> float:
-    """The part of the audited links that a list holds or that the enlarged lists will."""
+def _truth(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The links of the least sample that holds ENOUGH of them, or of the largest."""
+    size, total = AUDIT, nodes.count()
+    while True:
+        truth = common.written(_audit(nodes, size, threshold))
+        if size >= min(MOST_AUDIT, total) or truth.count() >= ENOUGH:
+            return truth
+        common.discard(truth)
+        size *= 4
+
+
+def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, sim): every link, by comparing all nodes of a label in tiles."""
+    tiles = F.ceil(F.col("n") / TILE).cast("long")
+    own = nodes.join(nodes.groupBy("grp").agg(F.count("*").alias("n")), "grp").select(
+        "node", "grp", "vec", F.pmod(F.xxhash64("node", F.lit(9)), tiles).alias("own"), tiles.alias("tiles"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    spread = spread.select("node", "grp", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def links(t: pa.Table) -> pa.Table:
+        node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+        a, b = np.flatnonzero(own == t.column("i")[0].as_py()), np.flatnonzero(own == t.column("j")[0].as_py())
+        if not len(a) or not len(b):
+            return _pairs([], [], [])
+        x = unit(t.column("vec"))
+        sim = x[a] @ x[b].T
+        p, q = np.nonzero((sim >= threshold) & (node[a][:, None] != node[b][None]))
+        return _pairs(np.concatenate((node[a][p], node[b][q])), np.concatenate((node[b][q], node[a][p])), np.tile(sim[p, q], 2))
+
+    return spread.groupBy("grp", "i", "j").applyInArrow(links, PAIRS).dropDuplicates(["u", "v"])
+
+
+def _recall(truth: DataFrame, pairs: DataFrame, dense: DataFrame) -> float | None:
+    """The part of the audited links that a list holds or that the enlarged lists will; None without any."""
     n = truth.count()
     if not n:
-        return 1.0
+        return None
     of = lambda c: dense.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     listed = truth.join(pairs.withColumn("listed", F.lit(True)), ["u", "v"], "left").join(of("u"), "u", "left").join(of("v"), "v", "left")
     return listed.where(F.col("listed") | (F.col("c_u") == F.col("c_v"))).count() / n
@@ -240,43 +276,60 @@ def _dense_counts(dense: DataFrame, nodes: DataFrame, threshold: float) -> DataF
     return rows.groupBy("component", "i", "j").applyInArrow(count, "u long, links long").groupBy("u").agg(F.sum("links").alias("links"))
 
 
+def _saturated(links: DataFrame, near: int) -> DataFrame:
+    """(u): nodes whose list holds links alone."""
+    return links.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= near).select("u")
+
+
+def _descended(lists: DataFrame | None, nodes: DataFrame, first: int, near: int, threshold: float) -> DataFrame:
+    """The lists, if any, with TABLES new tables, refined as long as lists that aren't saturated get links."""
+    found = _within_blocks(_blocks(nodes, first, TABLES), nodes, near).withColumn("fresh", F.lit(True))
+    if lists is not None:
+        found = found.unionByName(lists.withColumn("fresh", F.lit(False)))
+    before, lists = lists, common.written(_best(found, near))
+    common.discard(before)
+    for _ in range(ROUNDS):
+        joined = _local_joins(lists, nodes, near, threshold).withColumn("fresh", F.lit(True))
+        new = common.written(_best(lists.withColumn("fresh", F.lit(False)).unionByName(joined), near))
+        common.discard(lists)
+        lists = new
+        links = lists.where(F.col("sim") >= threshold)
+        got = links.join(_saturated(links, near), "u", "left_anti").agg(F.count_if("fresh").alias("new"), F.count("*").alias("all")).first()
+        if got["new"] <= LEAST_NEW * got["all"]:
+            break
+    return lists
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, near: int = NEAR, id_col: str = "vec_id", vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
-    """One row per row of vectors: id_col, n_links, component_id, kept, recall (as audited).
+    """One row per row of vectors: id_col, n_links, component_id, kept, recall (as audited; null without a true link).
 
     Null labels and vectors, empty and zero vectors and such with null or non-finite components link with
     nothing. Copies count as links of each other. Repeated rows stay; a null id is its own component
     unless it has links; other columns are ignored.
     """
     rows, nodes = _classes(vectors, id_col, vector_col, label_col)
-    lists, tables, recall, truth = None, 0, 1.0, None
-    for turn in range(ROUNDS):
-        if turn == 0 or recall < RECALL:
-            found = _within_blocks(_blocks(nodes, tables, TABLES), nodes, near).withColumn("fresh", F.lit(True))
-            tables += TABLES
-            if lists is not None:
-                found = found.unionByName(lists.withColumn("fresh", F.lit(False)))
-            lists = common.written(_best(found, near))
-        joined = _local_joins(lists, nodes, near, threshold).withColumn("fresh", F.lit(True))
-        new = common.written(_best(lists.withColumn("fresh", F.lit(False)).unionByName(joined), near))
-        common.discard(lists)
-        lists = new
-        links = lists.where(F.col("sim") >= threshold)
-        full = links.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= near).select("u")
-        if links.where("fresh").join(full, "u", "left_anti").take(1) and turn + 1 < ROUNDS:
-            continue  # a list that isn't saturated has got a link
+    lists, truth = None, _truth(nodes, threshold)
+    for retry in range(RETRIES + 2):
+        if retry > RETRIES:
+            links = common.written(_all_links(nodes, threshold))
+            full = links.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= near).select("u")
+        else:
+            lists = _descended(lists, nodes, retry * TABLES, near, threshold)
+            links = lists.where(F.col("sim") >= threshold)
+            full = _saturated(links, near)
         pairs = common.written(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
         label = common.written(common.connected_components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))))
         sizes = label.groupBy("component").agg(F.count("*").alias("size"))
         dense_of = label.join(full.withColumnRenamed("u", "node"), "node", "left_semi").select("component").distinct().join(sizes, "component")
         dense = common.written(label.join(dense_of, "component"))
-        if truth is None:
-            truth = common.written(_audit(nodes, AUDIT, threshold))
         recall = _recall(truth, pairs, dense)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
+        if retry <= RETRIES:
+            common.discard(pairs, label, dense)
     counted = _dense_counts(dense, nodes, threshold)
     plain = pairs.join(dense.select(F.col("node").alias("u")), "u", "left_anti").join(
         nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("links"))
@@ -290,8 +343,14 @@ def near_duplicates(
     out = rows.join(info, ["grp", "h1", "h2"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("recall", F.lit(recall))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("recall", F.lit(recall).cast("double"))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept, recall for every row of embeddings.
+
+    Null labels and vectors, empty and zero vectors and those with null or non-finite components have no
+    links and are their own component. Equal vectors of a label link; repeated rows stay; a null id is its
+    own component unless it has links; an empty table gives no rows; other columns are ignored.
+    """
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))

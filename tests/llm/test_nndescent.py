@@ -68,3 +68,19 @@ def test_empty_repeats_and_null_ids(spark):
     rows = [(5, [1.0, 2.0], 1, "", 0), (5, [1.0, 2.0], 1, "", 0), (None, [1.0, 2.0], 1, "", 0), (None, None, 1, "", 0)]
     got = nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 2, 5), (5, 2, 5), (5, 2, 5)]
+
+
+def test_exact_comparison_when_recall_stays_low(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "RECALL", 2.0)
+    monkeypatch.setattr(nndescent, "RETRIES", 0)
+    monkeypatch.setattr(nndescent, "TILE", 32)
+    rows = sample()
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain(rows) and {r.recall for r in got} == {1.0}
+
+
+def test_recall_is_null_where_nothing_could_be_measured(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.standard_normal(16)], 0, "", 0) for i in range(80)]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 80 and all(r.n_links == 0 and r.recall is None for r in got)
