@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .markers import hit
@@ -67,6 +67,8 @@ def alert_log(records: DataFrame, day: Column) -> DataFrame:
     )
 
 
-def capped_list(value: Column, n: int = 128) -> Column:
-    """An ordered list of at most n items, as reports carry it."""
-    return F.slice(F.sort_array(F.collect_list(value)), 1, n)
+def capped(df: DataFrame, by: list[str], value: str, n: int = 128) -> DataFrame:
+    """by and items, the n least values in order, as reports carry them; no more than n of a group are gathered."""
+    w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    few = df.select(*by, value).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return few.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("items"))

@@ -55,7 +55,12 @@ def rules_of(files: DataFrame, content: str, name: str, first_id: int = 1001) ->
 
 
 def byte_pattern_hits(files: DataFrame, rules: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
-    """keep and the first rule (by rule_id) whose base64-coded bytes the file contains: rule_id, rule_desc."""
+    """keep and the first rule (by rule_id) whose base64-coded bytes the file contains: rule_id, rule_desc.
+
+    The rules are a policy (checked: 10,000 at most), broadcast to a substring join.
+    """
+    if rules.limit(10_001).count() > 10_000:
+        raise ValueError("over 10,000 byte patterns")
     known = rules.select("rule_id", "rule_desc", F.unbase64("rule_content").alias("_pattern"))
     joined = files.select(*keep, F.col(content).alias("_c")).join(F.broadcast(known), F.contains("_c", "_pattern"))
     return joined.groupBy(*keep).agg(F.min(F.struct("rule_id", "rule_desc")).alias("r")).select(*keep, "r.rule_id", "r.rule_desc")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..plans.packs import KEYWORD_ORDER, Pack
 
 
@@ -17,9 +18,10 @@ def matched(low: Column, words: tuple[str, ...]) -> Column:
 
 def set_rows(df: DataFrame, text: Column, pack: Pack, keep: list[str]) -> DataFrame:
     """keep and one row per set with a match: set_name, matched, count, score (count times the set's weight)."""
-    low = F.lower(text)
+    lowered = once(df.select(*keep, text.alias("_text")), {"_low": F.lower("_text")})
+    low = F.col("_low")
     one = lambda k: F.struct(F.lit(k).alias("set_name"), matched(low, pack.keywords[k]).alias("matched"), F.lit(pack.keyword_weights[k]).alias("weight"))
-    rows = df.select(*keep, F.explode(F.array(*[one(k) for k in KEYWORD_ORDER])).alias("s"))
+    rows = lowered.select(*keep, F.explode(F.array(*[one(k) for k in KEYWORD_ORDER])).alias("s"))
     return rows.where(F.size("s.matched") > 0).select(
         *keep, "s.set_name", "s.matched", F.size("s.matched").alias("count"), (F.size("s.matched") * F.col("s.weight")).alias("score")
     )
@@ -27,10 +29,14 @@ def set_rows(df: DataFrame, text: Column, pack: Pack, keep: list[str]) -> DataFr
 
 def keyword_score(text: Column, pack: Pack) -> Column:
     """Sum of count times weight over the sets, within 0 and 1."""
-    low = F.lower(text)
-    total = F.lit(0.0)
-    for k in KEYWORD_ORDER:
-        total = total + F.size(matched(low, pack.keywords[k])) * F.lit(pack.keyword_weights[k])
+
+    def of(low: Column) -> Column:
+        total = F.lit(0.0)
+        for k in KEYWORD_ORDER:
+            total = total + F.size(matched(low, pack.keywords[k])) * F.lit(pack.keyword_weights[k])
+        return total
+
+    total = F.element_at(F.transform(F.array(F.lower(text)), of), 1)  # lowered once, not in each word's test
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
 

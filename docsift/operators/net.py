@@ -34,6 +34,8 @@ def violations(connections: DataFrame, whitelist: DataFrame, ip: str = "remote_i
     A whitelist is a policy (checked: 100,000 entries at most), broadcast to a range anti-join.
     """
     known = ranges(whitelist)
+    if known.where("entry like '%:%/%'").limit(1).count():
+        raise ValueError("whitelist blocks of IPv6 are not supported")
     if known.limit(100_001).count() > 100_000:
         raise ValueError("whitelist of over 100,000 entries")
     conn = connections.where(F.col(ip).isNotNull() & ~F.col(ip).isin(*NO_ADDRESS, *LOOPBACK)).withColumn("_n", ip_number(F.col(ip)))

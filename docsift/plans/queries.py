@@ -242,10 +242,10 @@ def feature_keyword_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.feature_hits(table(spark, sf_dir, "documents"), F.col("text"), rules, ["doc_id"])
 
 
-@query("SELECT doc_id, min(item_id) AS rule_id FROM documents JOIN benchmark b ON contains(documents.text, left(b.text, 60)) WHERE length(b.text) >= 60 GROUP BY doc_id")
+@query("SELECT doc_id, min(item_id) AS rule_id FROM documents JOIN benchmark b ON contains(documents.text, b.text) WHERE length(b.text) > 0 GROUP BY doc_id")
 def stream_marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where(F.length("text") >= 60)
-    rules = b.select(F.col("item_id").alias("rule_id"), F.lit("benchmark").alias("rule_desc"), F.base64(F.substring("text", 1, 60).cast("binary")).alias("rule_content"))
+    b = table(spark, sf_dir, "benchmark").where(F.length("text") > 0)
+    rules = b.select(F.col("item_id").alias("rule_id"), F.lit("benchmark").alias("rule_desc"), F.base64(F.col("text").cast("binary")).alias("rule_content"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     return hashing.byte_pattern_hits(d, rules, ["doc_id"]).select("doc_id", "rule_id")
 
@@ -603,8 +603,8 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, array_to_string(list_sort(list(doc_id))[1:128], ',') AS ids FROM documents GROUP BY source")
 def capped_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform(alerts.capped_list(F.col("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(ids.alias("ids"))
+    ids = F.array_join(F.transform("items", lambda x: x.cast("string")), ",")
+    return alerts.capped(table(spark, sf_dir, "documents"), ["source"], "doc_id").select("source", ids.alias("ids"))
 
 
 @query(f"SELECT doc_id, len(list_filter([{', '.join(map(sql.q, style.RED_HEADER_WORDS))}], lambda w: contains(text, w))) > 0 AS header, len(list_filter([{', '.join(map(sql.q, style.SEAL_WORDS))}], lambda w: contains(text, w))) > 0 AS seal FROM {golden_sql(OFFICIALS)}")
