@@ -9,8 +9,8 @@ text itself explains each block. Its score grows with the normalised difference
 size + PLAIN).
 
 Text of one repeated word has next to no difference, as either dictionary leaves next to nothing of it.
-So there is a second input: by how much a text shrinks below the median good text, on a log scale, and
-0 if it doesn't. A logistic fit with weights that can't be negative makes a probability of the two, on
+So there is a second input: by how much a text shrinks below all but a part USUAL of the good ones, on a
+log scale, and 0 if it doesn't. A logistic fit with weights that can't be negative makes a probability of the two, on
 the sampled whole texts, each measured by dictionaries that it did not train (FOLD_PAIRS pairs),
 weighted to the true numbers of the classes. Scoring reads whole texts, row by row, without a shuffle.
 """
@@ -36,6 +36,7 @@ PLAIN = 64
 DICTIONARY = 112_000
 FOLD_PAIRS = 4
 HOLD = 0.05
+USUAL = 0.02
 LEVEL = 3
 
 
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SA
     rows = sorted(tuple(r) for r in src.mapInArrow(measure, "y int, apart double, shrunk double").collect())  # a row for each sampled text
     common.discard(drawn)
     y, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
-    model.usual = float(np.median(x[y == 1, 1]))
+    model.usual = float(np.quantile(x[y == 1, 1], USUAL))
     weight = {c: number[c] / (y == c).sum() for c in (0, 1)}
     x[:, 1] = np.minimum(0, x[:, 1] - model.usual)
     model.weights, model.base = calibrated(x, y, np.array([weight[c] for c in y]))
