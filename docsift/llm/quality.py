@@ -67,12 +67,12 @@ def _compressor(data: bytes) -> zstandard.ZstdCompressor:
 
 
 def measured(by_good: zstandard.ZstdCompressor, by_bad: zstandard.ZstdCompressor, data: bytes) -> tuple[float, float]:
-    """(difference, shrinkage): the normalised difference, and the log of the smaller size to the raw one."""
+    """(difference, shrinkage): the normalised difference, and the log of the larger size to the raw one."""
     g = b = 0
     for block in _blocks(data):
         g += len(by_good.compress(block))
         b += len(by_bad.compress(block))
-    shrunk = math.log(max(1, min(g, b)) / max(1, len(data)))
+    shrunk = math.log(max(1, g, b) / max(1, len(data)))  # by both, as a text that one dictionary holds shrinks too
     return (b - g) / (len(data) + PLAIN), min(1.0, max(-4.0, shrunk))
 
 
