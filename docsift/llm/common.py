@@ -69,15 +69,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b) of longs; component is the smallest node of the class.
 
     Contraction: every node moves to the neighbour (or itself) of lowest random rank, edges follow,
-    loops vanish. Ranks are drawn anew each round, so chains shrink by a constant factor; a clique
-    needs one round. Nodes without an edge to another node don't appear.
+    loops vanish. Ranks hold for three rounds, so a group around a leader needs two, a clique one; then
+    they are drawn anew, so chains shrink by a constant factor. Nodes without an edge to another node
+    don't appear.
     """
     cur = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     moved, turn = None, 0
     while not is_empty(cur):
-        turn += 1
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("v"))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn // 3), F.col(c)).alias("r"), F.col(c).alias("v"))
         up = written(
             both.groupBy("a").agg(F.min(rank("b")).alias("m"))
             .select(F.col("a").alias("node"), F.least(F.col("m"), rank("a")).getField("v").alias("to"))
@@ -94,7 +94,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             e2.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         )
         discard(cur, up, last)
-        cur = new
+        cur, turn = new, turn + 1
     if moved is None:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = moved.groupBy("label").agg(F.min("node").alias("component"))
