@@ -12,6 +12,10 @@ PRIORITY = ("electronic", "marker", "layout", "hash", "keyword")
 LAYOUT_RULE, LAYOUT_LEVEL, LAYOUT_ALERT, MARKER_ALERT = 3001, 4, 3, 2
 # Greatest lengths of alert fields.
 LIMITS = {"id": 20, "rule_desc": 255, "matched": 1000, "context": 2000, "file_name": 255}
+# Greatest lengths of the fields on a file's summary and the host that holds it.
+ORIGIN = {
+    "file_summary": 65535, "company": 256, "computer_name": 256, "org_id": 256, "org_path": 512, "user_name": 256, "user_id": 256, "extend_fields": 65535,
+}
 # Priority of level names where levels are merged; the highest wins.
 LEVEL_PRIORITY = {"unknown": -1, "none": 0, "internal": 1, "confidential": 2, "secret": 3, "top_secret": 4}
 
@@ -46,8 +50,15 @@ def merged_level(levels: Column) -> Column:
     return F.coalesce(F.try_element_at(names, best), F.lit("unknown"))
 
 
-def alert_records(hits: DataFrame, time: Column, path: Column, name: Column, content: Column, filter_type: int = 1) -> DataFrame:
-    """Alert records of rows with a hit column; the id is derived from content, path and rule, so reruns agree."""
+def alert_records(
+    hits: DataFrame, time: Column, path: Column, name: Column, content: Column, filter_type: int = 1, origin: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Alert records of rows with a hit column; the id is derived from content, path and rule, so reruns agree.
+
+    origin: columns for fields of ORIGIN, where file and host are known; the others are null.
+    """
+    given = origin or {}
+    about = [F.substring(given.get(f, F.lit(None)).cast("string"), 1, n).alias(f) for f, n in ORIGIN.items()]
     h = lambda f: F.col(f"hit.{f}")
     digest = F.md5(content)
     ident = F.substring(F.sha2(F.concat_ws("|", digest, path, h("rule_id").cast("string")), 256), 1, LIMITS["id"])
@@ -56,7 +67,7 @@ def alert_records(hits: DataFrame, time: Column, path: Column, name: Column, con
         F.lit(filter_type).alias("filter_type"), h("alert_type").alias("alert_type"), digest.alias("file_md5"), path.alias("file_path"),
         F.substring(name, 1, LIMITS["file_name"]).alias("file_name"), F.octet_length(content).cast("bigint").alias("file_size"),
         F.substring(h("matched"), 1, LIMITS["matched"]).alias("highlight_text"), F.substring(h("context"), 1, LIMITS["context"]).alias("file_desc"),
-        h("level").alias("file_level"),
+        h("level").alias("file_level"), *about,
     )
 
 

@@ -82,6 +82,24 @@ def facts(df: DataFrame, text: str, pack: Pack) -> DataFrame:
     }).drop("_t", "_low")
 
 
+# Names of the summary, with the fact behind each.
+SUMMARY = (
+    ("has_copy_number", "copy_number"), ("has_doc_number", "doc_number"), ("has_secret_level", "secret_level"), ("has_urgency_level", "urgency"),
+    ("has_issuer", "issuer"), ("has_title", "title"), ("has_main_send", "main_send"), ("has_attachment", "attachment"),
+    ("has_issue_date", "issue_date"), ("has_copy_to", "copy_to"), ("has_print_info", "print_info"),
+)
+
+
+def summary() -> Column:
+    """The map of names to values, as text, that sums up the columns of facts()."""
+    had = [(n, F.col(f) != "") for n, f in SUMMARY]
+    counts = [
+        ("title_type", F.col("title_type")), ("has_org_name", F.size("org") > 0), ("org_count", F.size("org")),
+        ("pattern_matches", F.col("pattern_matches")), ("keyword_matches", F.col("keyword_matches")), ("prohibit_words_count", F.size("prohibited")),
+    ]
+    return F.create_map(*[x for n, c in had + counts for x in (F.lit(n), c.cast("string"))])
+
+
 def pattern_rows(df: DataFrame, text: Column, pack: Pack, keep: list[str]) -> DataFrame:
     """keep and a row per pattern with a match: pattern, matched."""
     one = lambda n: F.struct(F.lit(n).alias("pattern"), first(text, pack, n).alias("matched"))

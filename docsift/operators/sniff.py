@@ -78,6 +78,40 @@ def marker_type(content: Column, compat: bool = True) -> Column:
     )
 
 
+# Heads by the kind that a detector is given, in the order in which kinds are tried.
+DETECTOR_HEADS = (
+    ("image", ("FFD8FF", "89504E47", "474946", "424D", "49492A00", "4D4D002A", "38425053", "00000100")),
+    ("archive", (
+        "504B0304", "504B0506", "504B0708", "526172211A07", "377ABCAF271C", "1F8B08", "425A68", "FD377A585A00", "28B52FFD", "25504446", "4D5A",
+        "7B5C727466", "7F454C46", "53514C69",
+    )),
+    ("document", ("D0CF11E0",)),
+)
+# Kinds by extension, where the bytes tell none.
+DETECTOR_EXTENSIONS = {
+    "text": "txt md log csv json yaml yml", "image": "jpg jpeg png gif bmp tiff tif", "document": "doc docx pdf xls xlsx ppt pptx",
+    "archive": "zip rar 7z tar gz",
+}
+
+
+def detector_type(content: Column, name: Column) -> Column:
+    """image, archive, document, text or other: the coarse kind by 261 bytes, then by extension.
+
+    PDF and zipped office files count as archives by their bytes; heads under 261 bytes are padded with
+    NUL, so short texts go by their extension.
+    """
+    head = F.substring(content, 1, 261)
+    plain = (F.octet_length(head) == 261) & ~_text(head).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    kinds = {e: k for k, es in DETECTOR_EXTENSIONS.items() for e in es.split()}
+    webp, tar = F.substring(head, 9, 4) == F.lit(b"WEBP"), F.substring(head, 258, 4) == F.lit(b"usta")
+    first, *rest = DETECTOR_HEADS
+    out = F.when(_any([_starts(head, m) for m in first[1]]) | webp, first[0])
+    for kind, heads in rest:
+        found = _any([_starts(head, m) for m in heads])
+        out = out.when(found | tar if kind == "archive" else found, kind)
+    return out.when(plain, "text").otherwise(_lookup(extension(name), kinds, "other"))
+
+
 def has_bom(content: Column) -> Column:
     return _starts(content, "EFBBBF") | _starts(content, "FFFE") | _starts(content, "FEFF")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import once
-from ..operators import alerts, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
+from ..operators import alerts, dispatch, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
 from ..sources import files
 from ..streaming import streams
 from . import sql
@@ -434,6 +434,84 @@ def alert_log_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alert_log(_alerts(spark, sf_dir), F.col("time"))
 
 
+_ORIGIN_SQL = "left(repeat(source, 100), 256) AS company, left(repeat('/' || source, 200), 512) AS org_path, 'user' || (doc_id % 10) AS user_id"
+
+
+@query(f"""SELECT left(sha256(md5(text) || '|' || '/' || source || '|4001'), 20) AS id, {_ORIGIN_SQL}, left(text, 65535) AS file_summary, NULL::VARCHAR AS computer_name,
+ NULL::VARCHAR AS org_id, NULL::VARCHAR AS user_name, '{{"lang":"' || lang || '"}}' AS extend_fields, 1::BIGINT AS filter_type
+ FROM documents WHERE contains(lower(text), 'license')""")
+def alert_origin_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    hit = markers.hit(F.contains(F.lower("text"), F.lit("license")), F.lit(4), F.lit(4001), F.lit("keyword"), F.lit("license"), F.lit(""), 5)
+    origin = {
+        "company": F.repeat("source", F.lit(100)), "org_path": F.repeat(F.concat(F.lit("/"), "source"), F.lit(200)), "file_summary": F.col("text"),
+        "user_id": F.concat(F.lit("user"), (F.col("doc_id") % 10).cast("string")), "extend_fields": F.concat(F.lit('{"lang":"'), "lang", F.lit('"}')),
+    }
+    path = F.concat(F.lit("/"), "source")
+    records = alerts.alert_records(d.withColumn("hit", hit), F.lit("2024-01-01"), path, path, F.col("text").cast("binary"), origin=origin)
+    return records.select("id", *alerts.ORIGIN, *longs("filter_type"))
+
+
+# Files made of documents: text as it is, office files with and without extracted text, images, other bytes.
+_FILE_HEADS = ("", "504B0304", "504B0304", "FFD8FF", "00")
+_FILES_SQL = "(SELECT *, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_FILE_HEADS)) + " END || hex(encode(text)) AS hexa FROM {source} WHERE text IS NOT NULL)"
+
+
+def _files(df: DataFrame) -> DataFrame:
+    heads = F.array(*[F.lit(bytes.fromhex(h)) for h in _FILE_HEADS])
+    n = F.pmod("doc_id", F.lit(5)).cast("int")
+    content = F.concat(F.get(heads, n), F.col("text").cast("binary"))
+    return df.where("text is not null").select("doc_id", content.alias("content"), F.when(n == 1, F.col("text")).alias("extracted"))
+
+
+def _dispatch_sql(source: str, pack: Pack) -> str:
+    edge = lambda x: f"decode(unhex({x}), 'replace')"  # noqa: E731  (a window may cut a character)
+    head, tail = "hexa[1:8192]", "CASE WHEN length(hexa) > 8192 THEN hexa[greatest(8192, length(hexa) - 4096) + 1:] ELSE '' END"
+    odd = "'^(..)*?(0[0-8BCEF]|1.)'"
+    kind = f"CASE WHEN doc_id % 5 IN (1, 2) THEN 'office' WHEN doc_id % 5 = 3 THEN 'image' WHEN length(hexa) >= 514 AND NOT regexp_matches(hexa[1:514], {odd}) THEN 'text' ELSE 'binary' END"
+    label, level = sql.byte_scan("hexa[1:2097152]", pack)
+    p = pack.strict_marker
+    m = {k: sql.first(k, p) for k in ("text", "h", "t")}
+    n = {k: sql.level(sql.first(k, p, 1), pack) for k in ("text", "h", "t")}
+    rows = f"(SELECT doc_id, text, {kind} AS kind, {edge(head)} AS h, {edge(tail)} AS t, {label} AS label, {level} AS blevel FROM {_FILES_SQL.format(source=source)})"
+    matched = f"CASE WHEN kind = 'office' AND doc_id % 5 = 1 THEN {m['text']} WHEN kind = 'text' THEN CASE WHEN {m['h']} <> '' THEN {m['h']} ELSE {m['t']} END WHEN kind = 'image' THEN '' ELSE label END"
+    lev = f"CASE WHEN kind = 'office' AND doc_id % 5 = 1 THEN {n['text']} WHEN kind = 'text' THEN CASE WHEN {m['h']} <> '' THEN {n['h']} ELSE {n['t']} END ELSE blevel END"
+    return f"SELECT {sql.q(pack.name)} AS pack, doc_id, {sql.trim('matched')} AS matched, (CASE WHEN lev = 0 THEN 4 ELSE lev END)::BIGINT AS level, {sql.q(dispatch.DESC)} || {sql.trim('matched')} AS rule_desc FROM (SELECT doc_id, {matched} AS matched, {lev} AS lev FROM {rows}) WHERE {sql.trim('matched')} <> ''"
+
+
+@query(_dispatch_sql(golden_sql(MARKERS), OFFICIAL) + " UNION ALL " + _dispatch_sql("documents", LATIN))
+def marker_dispatch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def found(df: DataFrame, pack: Pack) -> DataFrame:
+        d = _files(df).withColumn("hit", dispatch.marker_hit(F.col("content"), F.col("extracted"), pack)).where("hit is not null")
+        return d.select(F.lit(pack.name).alias("pack"), "doc_id", "hit.matched", F.col("hit.level").cast("bigint").alias("level"), "hit.rule_desc")
+
+    return found(golden(spark, MARKERS), OFFICIAL).unionByName(found(table(spark, sf_dir, "documents"), LATIN))
+
+
+_KIND_NAMES = ("a.md", "b.pdf", "c", "d.JPG", "e.bin")
+
+
+@query("""SELECT doc_id, kind, CASE WHEN kind IN ('image', 'document') THEN kind END AS electronic FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'image' WHEN 1 THEN 'archive' WHEN 2 THEN 'archive'
+ WHEN 0 THEN 'text' ELSE 'other' END AS kind FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) > 0 AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]'))""")
+def detector_file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    d = _files(table(spark, sf_dir, "documents").where((F.octet_length("text") > 0) & ~odd))
+    name = F.get(F.array(*map(F.lit, _KIND_NAMES)), F.pmod("doc_id", F.lit(5)).cast("int"))
+    return d.select("doc_id", sniff.detector_type(F.col("content"), name).alias("kind"), dispatch.electronic_input(F.col("content"), name).alias("electronic"))
+
+
+_SUMMARY_SQL = ", ".join([f"{{'key': '{n}', 'value': ({f} <> '')::VARCHAR}}" for n, f in features.SUMMARY] + [
+    "{'key': 'title_type', 'value': title_type}", "{'key': 'has_org_name', 'value': (len(org) > 0)::VARCHAR}", "{'key': 'org_count', 'value': len(org)::VARCHAR}",
+    "{'key': 'pattern_matches', 'value': pattern_matches::BIGINT::VARCHAR}", "{'key': 'keyword_matches', 'value': keyword_matches::BIGINT::VARCHAR}",
+    "{'key': 'prohibit_words_count', 'value': len(prohibited)::VARCHAR}"])
+
+
+@query(f"SELECT doc_id, s.key AS key, s.value AS value FROM (SELECT doc_id, unnest([{_SUMMARY_SQL}]) AS s FROM ({sql.facts('documents', 'text', LATIN, 'doc_id')}))")
+def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = features.facts(table(spark, sf_dir, "documents"), "text", LATIN)
+    return d.select("doc_id", F.explode(features.summary()).alias("key", "value"))
+
+
 _SCAN = f"(SELECT source, lang, length(text) = 0 OR octet_length(encode(text)) < 50 AS bad, {_M} <> '' AS found, octet_length(encode(text)) AS n FROM documents)"
 
 

@@ -5,7 +5,8 @@ import duckdb
 import pytest
 from docsift.functions import text as tx
 from docsift.functions.regex import to_java
-from docsift.operators import alerts, features, hashing, keywords, markers, net, policy, score, sniff, style
+from docsift.operators import alerts, dispatch, features, hashing, keywords, markers, net, policy, score, sniff, style
+from docsift.operators.alerts import PRIORITY
 from docsift.plans.packs import KEYWORD_ORDER, LATIN, OFFICIAL, OFFICIAL_COMPAT
 from docsift.plans.queries import OFFICIALS
 from pyspark.sql import functions as F
@@ -164,3 +165,20 @@ def test_random_bytes_never_break_sniffing(spark):
     rows = [(bytearray(rng.randbytes(rng.randrange(0, 700))), f"f{i}.{rng.choice(['txt', 'zip', '', 'docx'])}") for i in range(200)] + [(bytearray(b""), "")]
     got = spark.createDataFrame(rows, "c binary, n string").select(sniff.file_type(F.col("c"), F.col("n")).alias("t"), sniff.marker_type(F.col("c")).alias("m")).collect()
     assert len(got) == len(rows) and all(r.t.category for r in got)
+
+
+def test_detectors_switched_on():
+    on = dispatch.switched_on
+    assert on() == list(PRIORITY) == on(["hash"], everything=True)
+    assert on(["keyword", "hash"]) == ["hash", "keyword"] and on(none=True) == []
+    assert on(none=True, loaded=["keyword"]) == ["keyword"] and on(["layout"], none=True) == ["layout"]
+
+
+def test_dispatch_of_odd_files(spark):
+    rows = [(b"", None), (None, None), (b"%PDF-1.7", "机密★5年"), (b"%PDF-1.7" + "机密★".encode(), ""), (b"\xff\xd8\xff", None), (b"\xff\xd8\xff", "秘密★")]
+    d = spark.createDataFrame(rows, "content binary, t string").coalesce(1)
+    hit = lambda **kw: [r.matched for r in d.select(dispatch.marker_hit(F.col("content"), F.col("t"), OFFICIAL, **kw).alias("h")).select("h.matched").collect()]
+    assert hit() == [None, None, "机密★5年", None, None, None]
+    assert hit(image_text=F.col("t"))[4:] == [None, "秘密★"]
+    kinds = d.select(dispatch.electronic_input(F.col("content"), F.lit("x.pdf"))).collect()
+    assert [k[0] for k in kinds] == [None, None, None, None, "image", "image"]
