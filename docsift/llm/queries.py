@@ -1,6 +1,6 @@
 """Queries of the corpus operators, by the name under which they are registered."""
 
-from . import html_extract, langid, mixing, multiset_hash, nndescent, packing, quality, simhash, token_counts, url_filter
+from . import filter_audit, html_extract, langid, mixing, multiset_hash, nndescent, packing, quality, simhash, token_counts, url_filter
 
 QUERIES = {
     "op7_embedding_near_dedup": nndescent.op7_embedding_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.ORACLE_SQL}
