@@ -1,6 +1,6 @@
 """Queries of the corpus operators, by the name under which they are registered."""
 
-from . import filter_audit, html_extract, langid, merkle, mixing, multiset_hash, nndescent, packing, quality, simhash, token_counts, url_filter
+from . import bpe_codec, filter_audit, html_extract, langid, merkle, mixing, multiset_hash, nndescent, packing, quality, simhash, token_counts, url_filter
 
 QUERIES = {
     "op7_embedding_near_dedup": nndescent.op7_embedding_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_bpe_codec": bpe_codec.op12_bpe_codec,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
