@@ -75,6 +75,13 @@ def truncate_bytes(c: Column, n: int) -> Column:
     return F.substring(c.cast("binary"), 1, n)
 
 
+def cut_bytes(c: Column, n: int) -> Column:
+    """As many whole characters as fit into n bytes of UTF-8."""
+    fit = F.char_length(F.make_valid_utf8(F.substring(c.cast("binary"), 1, n).cast("string")))  # the last may be a part
+    most = F.left(c, fit)
+    return F.when(F.octet_length(c) <= n, c).otherwise(F.when(F.octet_length(most) <= n, most).otherwise(F.left(c, fit - 1)))
+
+
 def size_text(c: Column) -> Column:
     """Bytes as B, KB, MB or GB with two decimals."""
     step = lambda n, unit: F.format_string(f"%.2f {unit}", c / F.lit(float(n)))
@@ -91,12 +98,16 @@ def without_short_noise(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: ~noise(x)), "\n")
 
 
+#: The dashes of page numbers.
+DASHES = "-\u2010\u2011\u2013\u2014\u2212"
+
+
 def is_page_marker(line: Column) -> Column:
-    """A line of at most 4 digits, or of digits, blanks and at least 2 dashes in under 20 bytes."""
+    """A line of digits in at most 4 bytes, or of digits, blanks and at least 2 dashes in under 20 bytes."""
     t = trim(line)
-    dashes = r"[-\u2013\u2014\u2212\u2010\u2011]"
-    dashed = t.rlike(rf"^(?:[0-9 ]|{dashes})+\z") & t.rlike("[0-9]") & (F.regexp_count(t, F.lit(dashes)) >= 2) & (F.octet_length(t) < 20)
-    return t.rlike(r"^[0-9]{1,4}\z") | dashed
+    dashed = t.rlike(rf"^[\p{{Nd}} \{DASHES}]+\z") & t.rlike(r"\p{Nd}")
+    dashes = F.char_length(t) - F.char_length(F.translate(t, DASHES, ""))
+    return (t.rlike(r"^\p{Nd}+\z") & (F.octet_length(t) <= 4)) | (dashed & (dashes >= 2) & (F.octet_length(t) < 20))
 
 
 def numeric_entities(c: Column) -> Column:
@@ -112,6 +123,15 @@ def numeric_entities(c: Column) -> Column:
     return decode(c)
 
 
-def without_han_spaces(c: Column) -> Column:
-    """Blanks kept only between two ASCII letters; elsewhere beside Han characters they are layout."""
-    return F.regexp_replace(c, r"(?<=[\p{IsHan}，。、；：！？（）《》]) +| +(?=[\p{IsHan}，。、；：！？（）《》])", "")
+_HAN = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}"
+#: Punctuation beside which recognised text has stray blanks.
+HAN_MARKS = "，。、；：？！\"'（）【】《》〔〕·—"
+
+
+def without_han_spaces(c: Column, marks: bool = True) -> Column:
+    """Without single blanks between Han characters, or a Han character and a digit or, with marks, punctuation.
+
+    marks: as recognised images are cleaned; without, as OFD text is.
+    """
+    beside = f"{_HAN}0-9{HAN_MARKS if marks else ''}"
+    return F.regexp_replace(c, f"(?<=[{_HAN}]) (?=[{beside}])|(?<=[{beside}]) (?=[{_HAN}])", "")

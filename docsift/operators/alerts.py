@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cut_bytes
 from .markers import hit
 
 #: Detectors by priority; the first hit counts.
 PRIORITY = ("electronic", "marker", "layout", "hash", "keyword")
 LAYOUT_RULE, LAYOUT_LEVEL, LAYOUT_ALERT, MARKER_ALERT = 3001, 4, 3, 2
-# Greatest lengths of alert fields.
-LIMITS = {"id": 20, "rule_desc": 255, "matched": 1000, "context": 2000, "file_name": 255}
-# Greatest lengths of the fields on a file's summary and the host that holds it.
+# Greatest lengths of alert fields in bytes.
+LIMITS = {"id": 20, "rule_desc": 1024, "matched": 512, "context": 512, "file_name": 128}
+# Greatest lengths in bytes of the fields on a file's summary and the host that holds it.
 ORIGIN = {
     "file_summary": 65535, "company": 256, "computer_name": 256, "org_id": 256, "org_path": 512, "user_name": 256, "user_id": 256, "extend_fields": 65535,
 }
@@ -55,18 +56,19 @@ def alert_records(
 ) -> DataFrame:
     """Alert records of rows with a hit column; the id is derived from content, path and rule, so reruns agree.
 
-    origin: columns for fields of ORIGIN, where file and host are known; the others are null.
+    Texts are cut to whole characters within the fields' bytes. origin: columns for fields of ORIGIN, where
+    file and host are known; the others are null.
     """
     given = origin or {}
-    about = [F.substring(given.get(f, F.lit(None)).cast("string"), 1, n).alias(f) for f, n in ORIGIN.items()]
+    about = [cut_bytes(given.get(f, F.lit(None)).cast("string"), n).alias(f) for f, n in ORIGIN.items()]
     h = lambda f: F.col(f"hit.{f}")
     digest = F.md5(content)
     ident = F.substring(F.sha2(F.concat_ws("|", digest, path, h("rule_id").cast("string")), 256), 1, LIMITS["id"])
     return hits.where("hit is not null").select(
-        ident.alias("id"), time.alias("time"), h("rule_id").alias("rule_id"), F.substring(h("rule_desc"), 1, LIMITS["rule_desc"]).alias("rule_desc"),
+        ident.alias("id"), time.alias("time"), h("rule_id").alias("rule_id"), cut_bytes(h("rule_desc"), LIMITS["rule_desc"]).alias("rule_desc"),
         F.lit(filter_type).alias("filter_type"), h("alert_type").alias("alert_type"), digest.alias("file_md5"), path.alias("file_path"),
-        F.substring(name, 1, LIMITS["file_name"]).alias("file_name"), F.octet_length(content).cast("bigint").alias("file_size"),
-        F.substring(h("matched"), 1, LIMITS["matched"]).alias("highlight_text"), F.substring(h("context"), 1, LIMITS["context"]).alias("file_desc"),
+        cut_bytes(name, LIMITS["file_name"]).alias("file_name"), F.octet_length(content).cast("bigint").alias("file_size"),
+        cut_bytes(h("matched"), LIMITS["matched"]).alias("highlight_text"), cut_bytes(h("context"), LIMITS["context"]).alias("file_desc"),
         h("level").alias("file_level"), *about,
     )
 

@@ -18,8 +18,12 @@ MAGIC = (
 )
 # Extensions by category, and their MIME types.
 CATEGORIES = {
-    "text": "txt text html htm xml rtf mht mhtml eml", "document": "doc docx docm dotx dotm wps wpt", "pdf": "pdf", "ofd": "ofd",
-    "image": "jpg jpeg png gif bmp tiff tif webp", "archive": "zip rar 7z gz tar",
+    "text": ("txt", "text", "html", "htm", "xml", "rtf", "mht", "mhtml", "eml"),
+    "document": ("doc", "docx", "docm", "dotx", "dotm", "wps", "wpt"),
+    "pdf": ("pdf",),
+    "ofd": ("ofd",),
+    "image": ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp"),
+    "archive": ("zip", "rar", "7z", "gz", "tar"),
 }
 MIME = {
     "txt": "text/plain", "text": "text/plain", "html": "text/html", "htm": "text/html", "xml": "application/xml", "rtf": "application/rtf",
@@ -31,6 +35,7 @@ MIME = {
     "webp": "image/webp", "zip": "application/zip", "rar": "application/x-rar-compressed", "7z": "application/x-7z-compressed",
     "gz": "application/gzip", "tar": "application/x-tar",
 }
+# Signs of HTML, and header lines of mails.
 HTML_SIGNS = ("<html", "<head", "<body", "<title", "<meta", "<link", "<script", "<style", "<div", "<span", "<table", "<form")
 MAIL_HEADERS = ("from:", "to:", "subject:", "date:", "message-id:")
 SUPPORTED = ("text", "document", "pdf", "ofd", "image")
@@ -89,8 +94,10 @@ DETECTOR_HEADS = (
 )
 # Kinds by extension, where the bytes tell none.
 DETECTOR_EXTENSIONS = {
-    "text": "txt md log csv json yaml yml", "image": "jpg jpeg png gif bmp tiff tif", "document": "doc docx pdf xls xlsx ppt pptx",
-    "archive": "zip rar 7z tar gz",
+    "text": ("txt", "md", "log", "csv", "json", "yaml", "yml"),
+    "image": ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif"),
+    "document": ("doc", "docx", "pdf", "xls", "xlsx", "ppt", "pptx"),
+    "archive": ("zip", "rar", "7z", "tar", "gz"),
 }
 
 
@@ -102,7 +109,7 @@ def detector_type(content: Column, name: Column) -> Column:
     """
     head = F.substring(content, 1, 261)
     plain = (F.octet_length(head) == 261) & ~_text(head).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
-    kinds = {e: k for k, es in DETECTOR_EXTENSIONS.items() for e in es.split()}
+    kinds = {e: k for k, es in DETECTOR_EXTENSIONS.items() for e in es}
     webp, tar = F.substring(head, 9, 4) == F.lit(b"WEBP"), F.substring(head, 258, 4) == F.lit(b"usta")
     first, *rest = DETECTOR_HEADS
     out = F.when(_any([_starts(head, m) for m in first[1]]) | webp, first[0])
@@ -201,7 +208,7 @@ def _lookup(ext: Column, table: dict[str, str], other: str) -> Column:
 
 
 def category(ext: Column) -> Column:
-    return _lookup(ext, {e: c for c, es in CATEGORIES.items() for e in es.split()}, "other")
+    return _lookup(ext, {e: c for c, es in CATEGORIES.items() for e in es}, "other")
 
 
 def file_type(content: Column, name: Column) -> Column:

@@ -12,6 +12,7 @@ MARGIN_TOLERANCE = 2.0
 LINE_SPACING, TITLE_SIZE, BODY_SIZE = 28.0, 22.0, 16.0
 FONT_SIZES = {"小五": 9.0, "五号": 10.5, "小四": 12.0, "四号": 14.0, "小三": 15.0, "三号": 16.0, "小二": 18.0, "二号": 22.0, "小一": 24.0, "一号": 26.0}
 TWIPS_PER_PT, MM_PER_PT = 20.0, 25.4 / 72
+# Words of red headers and of seals.
 RED_HEADER_WORDS = ("文件", "通知", "通报", "决定", "命令", "公告", "意见", "报告", "请示", "批复", "函", "发〔", "发[", "发（", "字〔", "字[")
 SEAL_WORDS = ("印章", "盖章", "公章", "专用章", "合同章", "人民政府", "委员会", "办公室", "局", "厅", "有限公司", "股份公司")
 
@@ -66,14 +67,26 @@ def seal_hint(text: Column) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in SEAL_WORDS]), lambda w: F.contains(text, w))
 
 
+def top_share(text: Column, stretch: int = 1 << 16) -> Column:
+    """The part of a text that its most frequent character makes up; 0 for an empty text, null for null.
+
+    Within the row: the different characters, gathered a stretch at a time, and for each what the text
+    loses without it. So no row is exploded, and a long text is never an array of all its characters.
+    """
+    n = F.char_length(text)
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / stretch), F.lit(0)).cast("int"))
+    letters = lambda i: F.array_distinct(F.split(F.substring(text, i * stretch + 1, F.lit(stretch)), ""))
+    every = F.filter(F.array_distinct(F.flatten(F.transform(starts, letters))), lambda c: c != "")
+    most = F.array_max(F.transform(every, lambda c: n - F.char_length(F.replace(text, c, F.lit("")))))
+    return F.when(n == 0, 0.0).otherwise(most / n)
+
+
 def is_garbage(df: DataFrame, id_col: str, text: str, part: float = 0.6) -> DataFrame:
     """(id_col, top_share, is_garbage): whether one character makes up more than part of a text.
 
-    Counted by exploding characters to (id, character) sums, so a long text is not one value in memory
-    beyond its own row; partial sums keep the shuffle at one row per text and character.
+    A row for every row; an empty text is not garbage, a null text has nulls.
     """
-    chars = df.select(id_col, F.explode(F.split(text, "")).alias("c")).where("c <> ''").groupBy(id_col, "c").agg(F.count("*").alias("n"))
-    share = chars.groupBy(id_col).agg((F.max("n") / F.sum("n")).alias("top_share"))
+    share = df.select(id_col, top_share(F.col(text)).alias("top_share"))
     return share.withColumn("is_garbage", F.col("top_share") > part)
 
 

@@ -49,33 +49,36 @@ OFFICIAL_PATTERNS = {
 # Keywords of official documents by set.
 OFFICIAL_KEYWORDS = {
     "org": (
-        "中共中央 国务院 全国人大 全国政协 中央办公厅 国务院办公厅 中央委员会 中央纪委 中央组织部 中央宣传部 "
-        "外交部 国防部 发展改革委 教育部 科技部 工业和信息化部 国家民委 公安部 国家安全部 民政部 司法部 财政部 人力资源社会保障部 "
-        "自然资源部 生态环境部 住房城乡建设部 交通运输部 水利部 农业农村部 商务部 文化和旅游部 国家卫生健康委 退役军人事务部 应急管理部 "
-        "中国人民银行 审计署 "
-        "省人民政府 省政府 市人民政府 市政府 县人民政府 县政府 区人民政府 区政府 自治区人民政府 直辖市人民政府 省委 市委 县委 区委 "
-        "省人大 市人大 县人大 省政协 市政协 县政协 "
-        "办公室 办公厅 委员会 管理局 管理处 工作委员会 领导小组 指挥部"
+        "中共中央", "国务院", "全国人大", "全国政协", "中央办公厅", "国务院办公厅", "中央委员会", "中央纪委", "中央组织部", "中央宣传部", "外交部", "国防部", "发展改革委", "教育部",
+        "科技部", "工业和信息化部", "国家民委", "公安部", "国家安全部", "民政部", "司法部", "财政部", "人力资源社会保障部", "自然资源部", "生态环境部", "住房城乡建设部", "交通运输部",
+        "水利部", "农业农村部", "商务部", "文化和旅游部", "国家卫生健康委", "退役军人事务部", "应急管理部", "中国人民银行", "审计署", "省人民政府", "省政府", "市人民政府", "市政府",
+        "县人民政府", "县政府", "区人民政府", "区政府", "自治区人民政府", "直辖市人民政府", "省委", "市委", "县委", "区委", "省人大", "市人大", "县人大", "省政协", "市政协", "县政协",
+        "办公室", "办公厅", "委员会", "管理局", "管理处", "工作委员会", "领导小组", "指挥部",
     ),
     "doctype": (
-        "决议 决定 命令 公报 公告 通告 意见 通知 通报 报告 请示 批复 议案 函 纪要 "
-        "办法 规定 条例 细则 规则 方案 计划 总结 规划 要点 简报 会议纪要 工作要点 "
-        "实施意见 实施方案 实施办法 实施细则 管理办法 管理规定 暂行办法 暂行规定 工作方案 工作计划 工作总结 工作报告"
+        "决议", "决定", "命令", "公报", "公告", "通告", "意见", "通知", "通报", "报告", "请示", "批复", "议案", "函", "纪要", "办法", "规定", "条例", "细则", "规则",
+        "方案", "计划", "总结", "规划", "要点", "简报", "会议纪要", "工作要点", "实施意见", "实施方案", "实施办法", "实施细则", "管理办法", "管理规定", "暂行办法", "暂行规定",
+        "工作方案", "工作计划", "工作总结", "工作报告",
     ),
     "action": (
-        "印发 发布 公布 颁布 下发 转发 批转 颁发 请示 报请 呈报 申请 请求 恳请 报批 请批 批复 批准 同意 核准 批示 "
-        "通知 告知 函告 函复 知照 执行 遵照 贯彻 落实 实施 遵循 按照 依照 根据"
+        "印发", "发布", "公布", "颁布", "下发", "转发", "批转", "颁发", "请示", "报请", "呈报", "申请", "请求", "恳请", "报批", "请批", "批复", "批准", "同意", "核准",
+        "批示", "通知", "告知", "函告", "函复", "知照", "执行", "遵照", "贯彻", "落实", "实施", "遵循", "按照", "依照", "根据",
+    ),
+    "header": (
+        "发文字号", "签发人", "密级", "紧急程度", "特急", "加急", "平急", "限时", "绝密", "机密", "秘密", "文件", "文号",
+    ),
+    "footer": (
+        "抄送", "主送", "印发", "印制", "主题词", "抄报", "发送", "存档", "归档", "联系人", "联系电话", "联系方式", "共印", "份",
     ),
-    "header": "发文字号 签发人 密级 紧急程度 特急 加急 平急 限时 绝密 机密 秘密 文件 文号",
-    "footer": "抄送 主送 印发 印制 主题词 抄报 发送 存档 归档 联系人 联系电话 联系方式 共印 份",
     "formal": (
-        "为了 为进一步 根据 按照 依据 遵照 鉴于 为贯彻 为落实 现就 现将 特此 兹 为此 经研究 经审核 经批准 "
-        "特此通知 特此通告 特此公告 请遵照执行 请认真贯彻执行 请结合实际 望遵照执行 请予以支持 请予以配合 "
-        "此复 此函 特此函复 专此函达 以上报告 妥否 请批示 请审批 敬请 恳请 请予 盼复 函复"
+        "为了", "为进一步", "根据", "按照", "依据", "遵照", "鉴于", "为贯彻", "为落实", "现就", "现将", "特此", "兹", "为此", "经研究", "经审核", "经批准", "特此通知",
+        "特此通告", "特此公告", "请遵照执行", "请认真贯彻执行", "请结合实际", "望遵照执行", "请予以支持", "请予以配合", "此复", "此函", "特此函复", "专此函达", "以上报告", "妥否",
+        "请批示", "请审批", "敬请", "恳请", "请予", "盼复", "函复",
     ),
     "prohibited": (
-        "价格 报价 合同 订单 发票 采购 销售 客户 供应商 折扣 优惠 促销 摘要 关键词 参考文献 引言 abstract keywords references "
-        "致谢 论文 学位 记者 编辑 来源 转载 本报讯 据悉 消息 立即购买 点击 咨询热线 免费 限时 抢购"
+        "价格", "报价", "合同", "订单", "发票", "采购", "销售", "客户", "供应商", "折扣", "优惠", "促销", "摘要", "关键词", "参考文献", "引言", "abstract",
+        "keywords", "references", "致谢", "论文", "学位", "记者", "编辑", "来源", "转载", "本报讯", "据悉", "消息", "立即购买", "点击", "咨询热线", "免费", "限时",
+        "抢购",
     ),
 }
 #: Weights of keyword sets in the keyword score.
@@ -98,7 +101,7 @@ def _byte_words(compat: bool) -> tuple[tuple[str, str, int, str], ...]:
 
 
 OFFICIAL = Pack(
-    "official", OFFICIAL_PATTERNS, {k: tuple(v.split()) for k, v in OFFICIAL_KEYWORDS.items()}, KEYWORD_WEIGHTS,
+    "official", OFFICIAL_PATTERNS, OFFICIAL_KEYWORDS, KEYWORD_WEIGHTS,
     r"(绝密|机密|秘密)\s*[★\*]\s*(\d{1,2}年|长期)?", r"(绝密|机密|秘密)", WORDS, _byte_words(False),
     needs={
         "doc_number": "号", "doc_number_full": "号", "title": "关于", "secret_level": "密", "issuer": "人", "multi_issuer": "人", "main_send": "各",

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import once
 from ..operators import alerts, dispatch, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
-from ..sources import files
+from ..sources import files, pdf
 from ..streaming import streams
 from . import sql
 from .packs import KEYWORD_ORDER, LATIN, OFFICIAL, OFFICIAL_COMPAT, Pack
@@ -421,7 +422,7 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALERTS_SQL = f"""(SELECT left(sha256(md5(text) || '|' || '/' || source || '/' || doc_id || '.txt' || '|' || rule_id), 20) AS id, (DATE '2024-01-01' + (doc_id % 7)::INT)::VARCHAR AS time,
- rule_id, level, alert_type, left(matched, 1000) AS highlight_text, '/' || source || '/' || doc_id || '.txt' AS file_path, md5(text) AS file_md5, octet_length(encode(text)) AS file_size FROM {_DETECTED_SQL} WHERE rule_id IS NOT NULL)"""
+ rule_id, level, alert_type, {sql.cut_bytes('matched', 512)} AS highlight_text, '/' || source || '/' || doc_id || '.txt' AS file_path, md5(text) AS file_md5, octet_length(encode(text)) AS file_size FROM {_DETECTED_SQL} WHERE rule_id IS NOT NULL)"""
 
 
 @query(f"SELECT id, left(time, 10) AS time, rule_id::BIGINT AS rule_id, level::BIGINT AS file_level, alert_type::BIGINT AS alert_type, highlight_text, file_path, file_md5, file_size::BIGINT AS file_size FROM {_ALERTS_SQL}")
@@ -434,17 +435,17 @@ def alert_log_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alert_log(_alerts(spark, sf_dir), F.col("time"))
 
 
-_ORIGIN_SQL = "left(repeat(source, 100), 256) AS company, left(repeat('/' || source, 200), 512) AS org_path, 'user' || (doc_id % 10) AS user_id"
+_ORIGIN_SQL = f"{sql.cut_bytes("repeat('é' || source, 100)", 256)} AS company, {sql.cut_bytes("repeat('/' || source, 200)", 512)} AS org_path, 'user' || (doc_id % 10) AS user_id"
 
 
-@query(f"""SELECT left(sha256(md5(text) || '|' || '/' || source || '|4001'), 20) AS id, {_ORIGIN_SQL}, left(text, 65535) AS file_summary, NULL::VARCHAR AS computer_name,
+@query(f"""SELECT left(sha256(md5(text) || '|' || '/' || source || '|4001'), 20) AS id, {_ORIGIN_SQL}, {sql.cut_bytes('text', 65535)} AS file_summary, NULL::VARCHAR AS computer_name,
  NULL::VARCHAR AS org_id, NULL::VARCHAR AS user_name, '{{"lang":"' || lang || '"}}' AS extend_fields, 1::BIGINT AS filter_type
  FROM documents WHERE contains(lower(text), 'license')""")
 def alert_origin_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     hit = markers.hit(F.contains(F.lower("text"), F.lit("license")), F.lit(4), F.lit(4001), F.lit("keyword"), F.lit("license"), F.lit(""), 5)
     origin = {
-        "company": F.repeat("source", F.lit(100)), "org_path": F.repeat(F.concat(F.lit("/"), "source"), F.lit(200)), "file_summary": F.col("text"),
+        "company": F.repeat(F.concat(F.lit("é"), "source"), F.lit(100)), "org_path": F.repeat(F.concat(F.lit("/"), "source"), F.lit(200)), "file_summary": F.col("text"),
         "user_id": F.concat(F.lit("user"), (F.col("doc_id") % 10).cast("string")), "extend_fields": F.concat(F.lit('{"lang":"'), "lang", F.lit('"}')),
     }
     path = F.concat(F.lit("/"), "source")
@@ -603,7 +604,9 @@ def fake_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("name", "ext", sniff.extension_fits(F.col("ext"), sniff.extension(F.col("name"))).alias("fits"))
 
 
-@query("SELECT doc_id, round(max(n)::DOUBLE / sum(n)::DOUBLE, 6) AS top_share, max(n)::DOUBLE / sum(n)::DOUBLE > 0.15 AS is_garbage FROM (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY doc_id, c) GROUP BY doc_id")
+@query("""WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY doc_id, c)
+ SELECT doc_id, round(share, 6) AS top_share, share > 0.15 AS is_garbage FROM (SELECT doc_id, CASE WHEN text = '' THEN 0.0::DOUBLE ELSE s END AS share
+ FROM documents LEFT JOIN (SELECT doc_id, max(n)::DOUBLE / sum(n)::DOUBLE AS s FROM c GROUP BY doc_id) USING (doc_id))""")
 def garbage_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style.is_garbage(table(spark, sf_dir, "documents"), "doc_id", "text", 0.15).withColumn("top_share", F.round("top_share", 6))
 
@@ -619,9 +622,67 @@ def readability_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = ("12", " 3 ", "12345", "- 1 -", "—— 4 ——", "a1", "", "1-2", "--7--", "1 2 3")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, TRUE), (1, TRUE), (2, FALSE), (3, TRUE), (4, TRUE), (5, FALSE), (6, FALSE), (7, FALSE), (8, TRUE), (9, FALSE)) v(doc_id, is_marker)")
+@query(f"SELECT doc_id, {sql.page_marker('text')} AS is_marker FROM {golden_sql(_LINES)} UNION ALL SELECT doc_id + 100, {sql.page_marker('line')} FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
 def page_marker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden(spark, _LINES).select("doc_id", tx.is_page_marker(F.col("text")).alias("is_marker"))
+    lines = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return golden(spark, _LINES).unionByName(lines).select("doc_id", tx.is_page_marker(F.col("text")).alias("is_marker"))
+
+
+_PAGE_LINES = 12
+_PDF_LINES = ("中 文 file  name 3 a\n– 12 –\n17\n第一句。第二句！”他说。\n末", "a \n b\t c", "十。\n１２\n12345")
+
+
+def _paged(text: Column) -> Column:
+    """A text as pages of so many lines."""
+    lines = F.split(text, "\n", -1)
+    last = F.floor((F.size(lines) - 1) / _PAGE_LINES).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(lines, i * _PAGE_LINES + 1, F.lit(_PAGE_LINES)), "\n"))
+
+
+def _pdfs(df: DataFrame) -> DataFrame:
+    """PDF files of documents; every other one with compressed objects."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([pdf.to_pdf(list(t), i % 2 == 0) for t, i in zip(texts, ids)])
+
+    return df.where("text is not null").select("doc_id", made(_paged(F.col("text")), F.col("doc_id")).alias("content"))
+
+
+@query(f"""SELECT doc_id, (len(string_split(text, chr(10))) + {_PAGE_LINES - 1}) // {_PAGE_LINES} AS pages, md5(text) AS text_md5, md5({sql.line_text('text')}) AS lines_md5
+ FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id - 100, text FROM {golden_sql(_PDF_LINES)})""")
+def pdf_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, read through their cross-references, page trees and character maps."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(golden(spark, _PDF_LINES).withColumn("doc_id", F.col("doc_id") - 100))
+    read = pdf.pages(_pdfs(d), keep=("doc_id",))
+    whole = F.array_join("pages", "\n")
+    return read.select("doc_id", F.size("pages").cast("bigint").alias("pages"), F.md5(whole).alias("text_md5"), F.md5(pdf.line_text(whole)).alias("lines_md5"))
+
+
+def _pages_sql(pack: Pack) -> str:
+    """(doc_id, matched, level) of the first of the first five pages with a strict marker."""
+    p, page = pack.strict_marker, f"array_to_string(string_split(text, chr(10))[i * {_PAGE_LINES} + 1:i * {_PAGE_LINES} + {_PAGE_LINES}], chr(10))"
+    rows = f"SELECT doc_id, i, {page} AS page FROM (SELECT doc_id, text, unnest(range(5)) AS i FROM documents)"
+    hits = f"SELECT doc_id, i, {sql.trim(sql.first('page', p))} AS m, {sql.level(sql.first('page', p, 1), pack)} AS l FROM ({rows})"
+    return f"(SELECT doc_id, m || ' (Page ' || (i + 1) || ')' AS matched, l::BIGINT AS level FROM ({hits}) WHERE m <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1)"
+
+
+@query(f"""SELECT d.doc_id, {sql.q(dispatch.DESC)} || matched AS rule_desc, matched AS highlight_text, (CASE WHEN level = 0 THEN 4 ELSE level END)::BIGINT AS file_level, 'pdf/' || d.doc_id || '.pdf' AS file_path, 2::BIGINT AS alert_type
+ FROM documents d JOIN {_pages_sql(LATIN)} p ON d.doc_id = p.doc_id""")
+def pdf_file_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files to alerts: type of the bytes, pages, marker by page, alert record."""
+    return _pdf_alerts(spark, sf_dir).select("doc_id", "rule_desc", "highlight_text", *longs("file_level"), "file_path", *longs("alert_type"))
+
+
+def _pdf_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _pdfs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = pdf.pages(files.withColumn("bytes", F.col("content")), keep=("doc_id", "bytes"))
+    hit = dispatch.marker_hit(F.col("bytes"), F.lit(None).cast("string"), LATIN, pages=F.col("pages"))
+    path = F.concat(F.lit("pdf/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
+    found = once(read, {"hit": hit}).where("hit is not null")
+    records = alerts.alert_records(found, F.lit("2024-01-01 00:00:00"), path, name, F.col("bytes"))
+    return records.withColumn("doc_id", F.regexp_extract("file_name", r"^(-?\d+)", 1).cast("bigint"))
 
 
 COLORS = ("FF0000", "#c00000", "B43C50", "B40051", "00FF00", "red", "b20000", "12345", "")
@@ -724,5 +785,5 @@ def events_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to alerts: type, facts, score, detectors by priority, alert records."""
-    return alert_records(spark, sf_dir)
+    """Files made of documents to alert records: PDF files by type, pages and marker, texts by all detectors in order."""
+    return _pdf_alerts(spark, sf_dir).drop("doc_id").unionByName(_alerts(spark, sf_dir))

@@ -23,6 +23,25 @@ def preprocess(x: str) -> str:
     return f"regexp_replace({lf(trim(x))}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
+def cut_bytes(x: str, n: int) -> str:
+    fit = f"length(decode(encode({x})[1:{n}], 'replace'))"
+    return f"CASE WHEN strlen({x}) <= {n} THEN {x} WHEN strlen(left({x}, {fit})) <= {n} THEN left({x}, {fit}) ELSE left({x}, {fit} - 1) END"
+
+
+def page_marker(x: str) -> str:
+    t, dashes = trim(x), "-\u2010\u2011\u2013\u2014\u2212"
+    count = f"(length({t}) - length(translate({t}, '{dashes}', '')))"
+    return f"(regexp_full_match({t}, '\\p{{Nd}}+') AND strlen({t}) <= 4 OR regexp_full_match({t}, '[\\p{{Nd}} \\{dashes}]+') AND regexp_matches({t}, '\\p{{Nd}}') AND {count} >= 2 AND strlen({t}) < 20)"
+
+
+def line_text(x: str) -> str:
+    plain = f"regexp_extract_all(regexp_replace({x}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t]+|[^ \\t]+')"
+    letters = "regexp_matches(coalesce(p[i - 1], ''), '[A-Za-z]$') AND regexp_matches(coalesce(p[i + 1], ''), '^[A-Za-z]')"
+    spaced = f"(SELECT array_to_string(list_transform(p, lambda w, i: CASE WHEN NOT regexp_matches(w, '^[ \\t]') THEN w WHEN {letters} THEN replace(w, chr(9), ' ') ELSE '' END), '') FROM (SELECT {plain} AS p))"
+    ended = f"regexp_replace(regexp_replace(replace({spaced}, chr(13), chr(10)), '([。！？])', '\\1\n', 'g'), '([。！？])\n([”“’‘\"''》〉\n])', '\\1\\2', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({ended}, chr(10)), lambda l: {trim('l')}), lambda l: l <> '' AND NOT {page_marker('l')}), chr(10))"
+
+
 def normalize_whitespace(x: str) -> str:
     lines = f"array_to_string(list_transform(string_split({lf(x)}, chr(10)), lambda l: {trim('l')}), chr(10))"
     return trim(f"regexp_replace(regexp_replace({lines}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')")

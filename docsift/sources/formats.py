@@ -10,7 +10,6 @@ import io
 import quopri
 import re
 import zipfile
-import zlib
 from email import policy as email_policy
 from email.parser import BytesParser
 from html.parser import HTMLParser
@@ -191,30 +190,10 @@ def metadata_tags(data: bytes) -> list[tuple[str, str]]:
 
 
 def pdf_text(data: bytes) -> str:
-    """Shown strings of a PDF's content streams (Flate or raw), in file order; no fonts are mapped."""
-    if not data.startswith(b"%PDF"):
-        raise ValueError("no PDF header")
-    out = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[1]
-        try:
-            body = zlib.decompressobj().decompress(body)
-        except zlib.error:
-            pass
-        if b"BT" not in body:
-            continue
-        for op in re.finditer(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|T\*|T[jJdD]\b|ET", body, re.S):
-            s = op[0]
-            if s[:1] == b"(":
-                s = re.sub(rb"\\([0-7]{1,3}|.)", lambda k: bytes([int(k[1], 8) & 255]) if k[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(k[1], k[1]), s[1:-1], flags=re.S)
-                out.append(s[2:].decode("utf-16-be", "replace") if s.startswith(b"\xfe\xff") else decode(s))
-            elif s[:1] == b"<":
-                h = re.sub(rb"\s", b"", s[1:-1])
-                raw = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
-                out.append(raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else decode(raw))
-            elif s in (b"T*", b"ET", b"Td", b"TD"):
-                out.append("\n")
-    return tidy("".join(out))
+    """The text of a PDF's pages in order, LF between pages that have any."""
+    from .pdf import page_texts
+
+    return tidy("\n".join(p for p in page_texts(data) if p))
 
 
 def doc_text(data: bytes) -> str:

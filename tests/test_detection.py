@@ -154,7 +154,9 @@ def test_text_functions(spark):
     assert one(tx.size_text(F.lit(1536))) == "1.50 KB" and one(tx.size_text(F.lit(7))) == "7 B"
     assert one(tx.without_short_noise(F.lit("ab\n--\n中\n.."))) == "ab\n中"
     assert one(tx.truncate(F.lit("秘密文件"), 2)) == "秘密" and bytes(one(tx.truncate_bytes(F.lit("秘密"), 4))) == "秘密".encode()[:4]
-    assert one(tx.without_han_spaces(F.lit("机 密 file name 文 件"))) == "机密file name文件"
+    assert one(tx.without_han_spaces(F.lit("机 密 file 文 件 3 。 文 ， x"))) == "机密 file 文件3 。文， x"
+    assert one(tx.without_han_spaces(F.lit("机 密 3 ， 文"), marks=False)) == "机密3 ， 文"
+    assert [one(tx.cut_bytes(F.lit(t), 5)) for t in ("abcdef", "机密", "a机密", "\ufffd\ufffd", "aé\U0001f600", "", "机a1")] == ["abcde", "机", "a机", "\ufffd", "aé", "", "机a1"]
     assert one(style.seal_hint(F.lit("市人民政府"))) is True and one(style.red_header_hint(F.lit("nothing"))) is False
     assert one(alerts.merged_level(F.array(F.lit("internal"), F.lit("top_secret"), F.lit("?")))) == "top_secret"
     assert one(sniff.unsupported_reason(F.lit("archive"))) == "压缩文件，请先解压后检测"
@@ -175,10 +177,10 @@ def test_detectors_switched_on():
 
 
 def test_dispatch_of_odd_files(spark):
-    rows = [(b"", None), (None, None), (b"%PDF-1.7", "机密★5年"), (b"%PDF-1.7" + "机密★".encode(), ""), (b"\xff\xd8\xff", None), (b"\xff\xd8\xff", "秘密★")]
+    rows = [(b"", None), (None, None), (b"%PDF-1.7", "机密★5年"), (b"%PDF-1.7" + "机密★".encode(), ""), (b"\xff\xd8\xff", None), (b"\xff\xd8\xff", "秘密★"), (b"\xff\xd8\xff", "一份机密文件"), (b"\xff\xd8\xff", "没有")]
     d = spark.createDataFrame(rows, "content binary, t string").coalesce(1)
     hit = lambda **kw: [r.matched for r in d.select(dispatch.marker_hit(F.col("content"), F.col("t"), OFFICIAL, **kw).alias("h")).select("h.matched").collect()]
-    assert hit() == [None, None, "机密★5年", None, None, None]
-    assert hit(image_text=F.col("t"))[4:] == [None, "秘密★"]
+    assert hit() == [None, None, "机密★5年", *[None] * 5]
+    assert hit(image_text=F.col("t"))[4:] == [None, "秘密 (OCR)", "机密 (OCR)", None]
     kinds = d.select(dispatch.electronic_input(F.col("content"), F.lit("x.pdf"))).collect()
-    assert [k[0] for k in kinds] == [None, None, None, None, "image", "image"]
+    assert [k[0] for k in kinds] == [None, None, None, None, *["image"] * 4]
