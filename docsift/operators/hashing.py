@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
 from .keywords import last_rules
 from .markers import hit
+from .patterns import first_rule
 
 MD5, SM3 = 0, 1
 MOST_BYTES = 100 << 20
@@ -44,26 +46,20 @@ def hash_hits(files: DataFrame, rules: DataFrame, keep: list[str], content: str
 
 
 def rules_of(files: DataFrame, content: str, name: str, first_id: int = 1001) -> DataFrame:
-    """MD5 rules from files, numbered by name from first_id."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(name)  # a rule list is as short as a policy
-    return files.select(
-        (F.row_number().over(w) + first_id - 1).cast("bigint").alias("rule_id"), F.lit(MD5).alias("rule_type"), F.md5(content).alias("rule_content"),
-        F.col(name).alias("rule_desc"), F.row_number().over(w).alias("ord"),
-    )
+    """MD5 rules from files, numbered by name (then digest) from first_id, by a range sort over many tasks."""
+    named = files.select(F.col(name).alias("rule_desc"), F.md5(content).alias("rule_content"))
+    rows = numbered(named, ["rule_desc", "rule_content"], "rule_id", first_id)
+    return rows.select("rule_id", F.lit(MD5).alias("rule_type"), "rule_content", "rule_desc", (F.col("rule_id") - first_id + 1).alias("ord"))
 
 
 def byte_pattern_hits(files: DataFrame, rules: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
     """keep and the first rule (by rule_id) whose base64-coded bytes the file contains: rule_id, rule_desc.
 
-    The rules are a policy (checked: 10,000 at most), broadcast to a substring join.
+    Any number of rules (patterns.first_rule); empty patterns and empty files have no hit, repeated rows stay.
     """
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("over 10,000 byte patterns")
-    known = rules.select("rule_id", "rule_desc", F.unbase64("rule_content").alias("_pattern"))
-    joined = files.select(*keep, F.col(content).alias("_c")).join(F.broadcast(known), F.contains("_c", "_pattern"))
-    return joined.groupBy(*keep).agg(F.min(F.struct("rule_id", "rule_desc")).alias("r")).select(*keep, "r.rule_id", "r.rule_desc")
+    known = rules.select("rule_id", "rule_desc", F.unbase64("rule_content").alias("_bytes"))
+    found = first_rule(files.select(F.struct(*keep).alias("_row"), F.col(content).alias("_content")), "_content", known, "_bytes", ["rule_id", "rule_desc"])
+    return found.select("_row.*", F.col("first.rule_id").alias("rule_id"), F.col("first.rule_desc").alias("rule_desc"))
 
 
 def duplicate_contents(files: DataFrame, content: str, id_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import once
 from ..plans.packs import KEYWORD_ORDER, Pack
+from .patterns import contained
 
 
 def matched(low: Column, words: tuple[str, ...]) -> Column:
@@ -53,18 +54,12 @@ def feature_rules(rules: DataFrame) -> DataFrame:
     return last_rules(each, ["feature"]).drop("ord")
 
 
-def feature_hits(df: DataFrame, text: Column, rules: DataFrame, keep: list[str], most_rules: int = 10_000) -> DataFrame:
-    """keep and a row per feature that the text contains.
-
-    Rules are a policy, not data: their number is checked, and the small side is broadcast to a nested-
-    loop join, which is the only form a substring join has. Larger rule tables are refused.
-    """
-    flat = feature_rules(rules)
-    n = flat.limit(most_rules + 1).count()
-    if n > most_rules:
-        raise ValueError(f"more than {most_rules} features; split the policy")
-    texts = df.select(*keep, F.lower(text).alias("_low"))
-    return texts.join(F.broadcast(flat), F.contains("_low", "feature")).select(*keep, "feature", "rule_id", "rule_desc")
+def feature_hits(df: DataFrame, text: Column, rules: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and a row per feature that the text contains, for any number of features; null and empty texts have none."""
+    flat = feature_rules(rules).withColumn("_pattern", F.col("feature").cast("binary"))
+    texts = df.select(F.struct(*keep).alias("_row"), F.lower(text).cast("binary").alias("_low"))
+    found = contained(texts, "_low", flat, "_pattern").drop("_low").join(flat, "_pattern")
+    return found.select("_row.*", "feature", "rule_id", "rule_desc")
 
 
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|(AND|OR|NOT)(?![^\s()])|([^\s()]+))")

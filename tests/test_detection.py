@@ -133,6 +133,13 @@ def test_hash_rules_of_both_kinds(spark):
     assert sorted(r.rule_id for r in made) == [1001, 1002, 1003]
 
 
+def test_rule_numbers_over_many_partitions(spark):
+    files = spark.createDataFrame([(f"f{i:03}", bytearray(b"%d" % i)) for i in range(300)] + [("f007", bytearray(b"7"))], "n string, content binary").repartition(9)
+    got = hashing.rules_of(files, "content", "n").orderBy("rule_id").collect()
+    assert [r.rule_id for r in got] == list(range(1001, 1302)) and [r.rule_desc for r in got] == sorted([*(f"f{i:03}" for i in range(300)), "f007"])
+    assert [r.ord for r in got] == list(range(1, 302)) and hashing.rules_of(files.limit(0), "content", "n").count() == 0
+
+
 def test_whitelist_ranges_and_names(spark):
     conn = spark.createDataFrame([(ip,) for ip in ("10.1.2.3", "11.0.0.1", "1.2.3.4", "1.2.3.5", "0.0.0.0", None, "999.1.1.1", "::1", "fe80::1")], "remote_ip string")
     wl = spark.createDataFrame([("10.0.0.0/8",), ("1.2.3.4",), ("fe80::1",), ("bad/99",)], "entry string")
