@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import once
+from ..functions.tables import shared_dir
 from ..operators import alerts, dispatch, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
 from ..sources import files, pdf
-from ..streaming import streams
+from ..streaming import stateful, streams
 from . import sql
 from .packs import KEYWORD_ORDER, LATIN, OFFICIAL, OFFICIAL_COMPAT, Pack
 
@@ -568,6 +569,28 @@ def net_first_alert_per_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.first_alerts(_violations(spark, sf_dir), "remote_ip", ["doc_id"]).select("remote_ip", "doc_id")
 
 
+_IP6 = "'2001:db8:' || substr(md5({k}), 1, 4) || ':' || substr(md5({k}), 5, 4)"
+_IP4 = "({k} % 223 + 1) || '.' || ({k} % 251)"
+_EVENT_IPS = f"SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN {_IP4.format(k='user_id')} || '.' || (event_id % 7) || '.' || (event_id % 13) ELSE {_IP6.format(k='user_id::VARCHAR')} || '::' || substr(md5(event_id::VARCHAR), 1, 4) END AS remote_ip FROM events"
+_PREFIXES = """SELECT CASE c_custkey % 4 WHEN 0 THEN '6' || substr(md5(c_custkey::VARCHAR), 1, 4) WHEN 1 THEN '6' || substr(md5(c_custkey::VARCHAR), 1, 8)
+ WHEN 2 THEN '4' || (c_custkey % 223 + 1) || '.' || (c_custkey % 251) || '.' ELSE '4' || (c_custkey % 223 + 1) || '.' || (c_custkey % 251) || '.' || (c_custkey % 7) || '.' || (c_custkey % 13) || '$' END AS p FROM customer"""
+
+
+@query(f"""WITH e AS ({_EVENT_IPS}), p AS ({_PREFIXES}), h AS (SELECT *, substr(md5(user_id::VARCHAR), 1, 8) AS x, '4' || split_part(remote_ip, '.', 1) || '.' || split_part(remote_ip, '.', 2) || '.' AS two FROM e)
+ SELECT event_id, remote_ip FROM h WHERE CASE WHEN event_id % 2 = 0 THEN two NOT IN (SELECT p FROM p) AND '4' || remote_ip || '$' NOT IN (SELECT p FROM p)
+ ELSE '6' || x[1:4] NOT IN (SELECT p FROM p) AND '6' || x NOT IN (SELECT p FROM p) END""")
+def ip_prefix_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of both families, made of events, against a whitelist of blocks made of customers."""
+    k = lambda c: F.md5(F.col(c).cast("string"))
+    cat = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    six = lambda c, n: cat("2001:db8:", F.substring(k(c), 1, 4), *([":", F.substring(k(c), 5, 4)] if n == 2 else []))
+    four = lambda c: cat(F.col(c) % 223 + 1, ".", F.col(c) % 251)
+    e, c = table(spark, sf_dir, "events"), F.col("c_custkey")
+    conn = e.select("event_id", F.when(F.col("event_id") % 2 == 0, cat(four("user_id"), ".", F.col("event_id") % 7, ".", F.col("event_id") % 13)).otherwise(cat(six("user_id", 2), "::", F.substring(k("event_id"), 1, 4))).alias("remote_ip"))
+    entry = F.when(c % 4 == 0, cat(six("c_custkey", 1), "::/48")).when(c % 4 == 1, cat(six("c_custkey", 2), "::/64")).when(c % 4 == 2, cat(four("c_custkey"), ".0.0/16")).otherwise(cat(four("c_custkey"), ".", c % 7, ".", c % 13))
+    return net.violations(conn, table(spark, sf_dir, "customer").select(entry.alias("entry")))
+
+
 @query("SELECT 'protocol' AS kind, event_type AS value, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'status', (event_id % 3)::VARCHAR, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'addresses', 'distinct', count(DISTINCT user_id) FROM events")
 def conn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("status", F.col("event_id") % 3)
@@ -588,9 +611,71 @@ POLICY_OPS = (
 )
 
 
-@query("SELECT 'hash' AS module, 2::BIGINT AS rule_id, 'b2' AS rule_content, 4::BIGINT AS version UNION ALL SELECT 'hash', 3, 'cc', 3 UNION ALL SELECT 'keyword', 9, 'w', 3")
+_CMD_SQL = "CASE WHEN event_id % 499 = 0 THEN 'reset' WHEN event_id % 5 = 0 THEN 'del' ELSE 'add' END"
+_OPS_SQL = f"""(SELECT event_type AS module, event_id AS version, {_CMD_SQL} AS cmd, CASE WHEN event_id % 998 <> 0 THEN user_id % 40 END AS rule_id,
+ CASE WHEN {_CMD_SQL} <> 'del' AND event_id % 998 <> 0 THEN 'c' || (event_id % 17) END AS rule_content FROM events)"""
+
+
+def _policy_ops(events: DataFrame) -> DataFrame:
+    """Operations on rules made of events; a few reset their module to one rule or to none."""
+    cmd = F.when(F.col("event_id") % 499 == 0, "reset").when(F.col("event_id") % 5 == 0, "del").otherwise("add")
+    some = F.col("event_id") % 998 != 0
+    content = F.when((cmd != "del") & some, F.concat(F.lit("c"), (F.col("event_id") % 17).cast("string")))
+    return events.select(F.col("event_type").alias("module"), F.col("event_id").alias("version"), cmd.alias("cmd"), F.when(some, F.col("user_id") % 40).cast("bigint").alias("rule_id"), content.alias("rule_content"))
+
+
+_GOLDEN_OPS_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else sql.q(v) if isinstance(v, str) else f"{v}::BIGINT" for v in op) + ")" for op in POLICY_OPS) + ") g(module, version, cmd, rule_id, rule_content)"
+
+
+@query(f"""WITH ops AS (SELECT * FROM {_OPS_SQL} UNION ALL SELECT * FROM {_GOLDEN_OPS_SQL}), r AS (SELECT module, max(version) AS last FROM ops WHERE cmd = 'reset' GROUP BY module),
+ k AS (SELECT module, rule_id, rule_content, version, cmd, row_number() OVER (PARTITION BY module, rule_id ORDER BY version DESC, cmd = 'del' DESC, coalesce(rule_content, '') DESC) AS n
+ FROM ops LEFT JOIN r USING (module) WHERE rule_id IS NOT NULL AND (last IS NULL OR version >= last))
+ SELECT module, rule_id, rule_content, version FROM k WHERE n = 1 AND cmd <> 'del'""")
 def policy_fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.folded(spark.createDataFrame(list(POLICY_OPS), "module string, version long, cmd string, rule_id long, rule_content string"))
+    ops = spark.createDataFrame(list(POLICY_OPS), "module string, version long, cmd string, rule_id long, rule_content string")
+    return policy.folded(_policy_ops(table(spark, sf_dir, "events")).unionByName(ops))
+
+
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream over given files writes, once all of them are read."""
+    at = shared_dir(spark)
+    with stateful.rocksdb(spark):
+        streams.run_to(stream, streams.to_table(f"{at}/out"), f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query(f"""WITH ops AS (SELECT *, max(CASE WHEN cmd = 'reset' THEN version END) OVER (PARTITION BY module ORDER BY version) AS last FROM {_OPS_SQL}),
+ x AS (SELECT *, lag(version) OVER w AS before, lag(cmd) OVER w AS what FROM ops WHERE rule_id IS NOT NULL WINDOW w AS (PARTITION BY module, rule_id ORDER BY version))
+ SELECT module, cmd, cmd <> 'del' OR coalesce(what <> 'del' AND (last IS NULL OR before >= last), FALSE) AS ok, count(*) AS n FROM x GROUP BY ALL""")
+def policy_stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations as a stream with the state of each module's rules: how many could be applied."""
+    feed = streams.table_feed(spark, f"{sf_dir}/events.parque*", "event_id long, user_id long, event_type string", 1 << 30)
+    done = _streamed(spark, stateful.policy_outcomes(_policy_ops(feed)))
+    return done.groupBy("module", "cmd", "ok").agg(F.count("*").alias("n"))
+
+
+_TICKS, _TICK_S, _WATCH_START = 4, 60, "2024-01-01 00:00:00"
+_SEEN_SQL = "(doc_id + tick) % 5 <> 0"
+
+
+@query(f"""SELECT tick, CASE WHEN NOT ({_SEEN_SQL}) THEN 'deleted' WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 AND tick = 2 THEN 'unreadable' ELSE 'modified' END AS state, count(*) AS n, sum(doc_id)::BIGINT AS ids
+ FROM (SELECT doc_id, unnest(range(1, {_TICKS + 1})) AS tick FROM documents)
+ WHERE CASE WHEN {_SEEN_SQL} THEN doc_id % 13 = 0 OR doc_id % 11 = 0 AND tick = 2 OR doc_id % 7 = tick ELSE doc_id % 13 <> 0 END GROUP BY 1, 2""")
+def integrity_watch_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans of documents as a stream, one a tick: some are away, changed, unreadable or unknown to the baseline at some ticks."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.md5("text").alias("digest"))
+    start = F.lit(_WATCH_START).cast("timestamp")
+    base = d.where("doc_id % 13 <> 0").select("path", "digest", start.alias("since"))
+    at = shared_dir(spark)
+    for tick in range(1, _TICKS + 2):  # one more, which tells that the last is over
+        found = d.where((F.col("doc_id") + tick) % 5 != 0) if tick <= _TICKS else d.where("doc_id % 13 <> 0")
+        digest = F.when((F.col("doc_id") % 11 == 0) & (tick == 2), None).when(F.col("doc_id") % 7 == tick, F.md5("digest")).otherwise(F.col("digest"))
+        seen = found.select("path", (digest if tick <= _TICKS else F.col("digest")).alias("digest"), (start + F.make_dt_interval(secs=F.lit(float(tick * _TICK_S)))).alias("at"))
+        seen.write.parquet(f"{at}/tick={tick}")
+    feed = streams.ticks_feed(spark, at, "path string, digest string, at timestamp")
+    alerts_of = _streamed(spark, stateful.integrity_watch(feed, base, _TICK_S * 1000))
+    tick_of = ((F.unix_seconds("at") - F.unix_seconds(start)) / _TICK_S).cast("bigint")
+    return alerts_of.select(tick_of.alias("tick"), "state", F.col("path").cast("bigint").alias("doc_id")).where(F.col("tick") <= _TICKS).groupBy("tick", "state").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 FILES = (("a.docx", "504B030414000600776F72642F646F63756D656E742E786D6C"), ("b.txt", "255044462D312E35"), ("c.pdf", "3C21444F43545950452068746D6C3E"), ("d.jpeg", "FFD8FFE0"), ("e.xyz", "FFD8FFE0"), ("f.txt", "68656C6C6F20776F726C64"), ("g.ofd", "504B03044F46442E786D6C"), ("h.png", "52494646000000005745425056503820"), ("i.wps", "D0CF11E0A1B11AE14B696E67736F6674"))

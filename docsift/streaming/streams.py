@@ -22,6 +22,11 @@ def table_feed(spark: SparkSession, folder: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def ticks_feed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Parquet files below folder in order of their change, one at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def run_to(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
     """Deliver every micro-batch to sink; with once, all that is there and then end."""
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -1,4 +1,5 @@
 import hashlib
+import ipaddress
 import random
 
 import duckdb
@@ -146,6 +147,48 @@ def test_whitelist_ranges_and_names(spark):
     assert sorted(r.remote_ip for r in net.violations(conn, wl).collect()) == ["1.2.3.5", "11.0.0.1", "999.1.1.1"]
 
 
+def test_addresses_of_both_families_are_pythons(spark):
+    rng = random.Random(11)
+    texts = ["::", "::1", "1::", "fe80::1%eth0", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:", "::ffff:1.2.3.4", "::ffff:1.2.3.400", "64:ff9b::1.2.3.4", "12345::", "g::", ":::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "FE80::A", "", ":", "1.2.3.4", "1.2.3", "256.1.1.1", None]
+    for _ in range(300):
+        a = ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128) & rng.getrandbits(128))
+        texts.append(rng.choice([a.compressed, a.exploded, a.compressed.upper()]))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", net.address(F.col("t")).alias("a")).orderBy("i").collect()
+    for t, r in zip(texts, got):
+        try:
+            want = ipaddress.ip_address(t) if t and "%" not in t else None
+        except ValueError:
+            want = None
+        want = getattr(want, "ipv4_mapped", None) or want
+        of = lambda x: (x.family, (x.hi % (1 << 64)) << 64 | x.lo % (1 << 64))
+        assert (want is None and r.a is None) or of(r.a) == (want.version, int(want)), t
+
+
+def test_blocks_of_any_length_and_number(spark):
+    rng = random.Random(12)
+    base = [ipaddress.IPv6Address((0x20010DB8 << 96) | rng.getrandbits(40) << 56 | rng.getrandbits(8)) for _ in range(150)] + [ipaddress.IPv4Address((10 << 24) | rng.getrandbits(24)) for _ in range(150)]
+    entries = [f"{a}/{rng.randrange(20, a.max_prefixlen + 1)}" for a in rng.sample(base, 80)] + ["::ffff:10.9.0.0/112", "2001:db8::/129", "10.0.0.0/33", "nonsense", "11.0.0.0/8", "fe80::/10", "fe80::/10"]
+    conn = [str(a + rng.randrange(4)) for a in base] + ["11.1.1.1", "fe81::5", "fec0::5", "10.9.3.4", "::ffff:11.2.3.4", "0.0.0.0", "::", "odd", None]
+    nets = []
+    for e in entries:
+        try:
+            n = ipaddress.ip_network(e, strict=False)
+            nets.append(ipaddress.ip_network("10.9.0.0/16") if "ffff" in e else n)
+        except ValueError:
+            pass
+
+    def fits(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return False
+        a = getattr(a, "ipv4_mapped", None) or a
+        return any(a in n for n in nets)
+
+    got = [r.remote_ip for r in net.violations(spark.createDataFrame([(c,) for c in conn], "remote_ip string"), spark.createDataFrame([(e,) for e in entries], "entry string")).collect()]
+    assert sorted(got) == sorted(c for c in conn if c and c not in ("0.0.0.0", "::") and not fits(c))
+
+
 def test_policy_outcomes(spark):
     ops = spark.createDataFrame([("m", 1, "add", 1), ("m", 2, "del", 1), ("m", 2, "del", 9)], "module string, version int, cmd string, rule_id int")
     known = spark.createDataFrame([("m", 1)], "module string, rule_id int")
