@@ -21,7 +21,7 @@ def package(**members):
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 DOCX = package(word__document_xml=f"<w:document {W}><w:body><w:p><w:r><w:t>机密★</w:t><w:tab/><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>", word__header1_xml=f"<w:hdr {W}><w:p><w:r><w:t>head</w:t></w:r></w:p></w:hdr>")
 OFD = package(Doc_0__Pages__Page_10__Content_xml="<o:a xmlns:o='u'><o:TextCode>second</o:TextCode></o:a>", Doc_0__Pages__Page_2__Content_xml="<o:a xmlns:o='u'><o:TextCode>first</o:TextCode></o:a>", OFD_xml="<SecretLevel>秘密</SecretLevel>")
-PDF = b"%PDF-1.4\n1 0 obj<<>>\nstream\n" + zlib.compress(b"BT (Hello \\(x\\)) Tj T* <776F726C64> Tj ET") + b"\nendstream\n%%EOF"
+PDF = b"%PDF-1.4\n1 0 obj<</Filter/FlateDecode>>\nstream\n" + zlib.compress(b"BT (Hello \\(x\\)) Tj T* <776F726C64> Tj ET") + b"\nendstream\n%%EOF"
 CASES = {
     "docx": (DOCX, "head\n机密★ x\ntwo"), "ofd": (OFD, "first\n\nsecond"), "pdf": (PDF, "Hello (x)\nworld"),
     "rtf": (rb"{\rtf1{\fonttbl{\f0 Arial;}}\f0 a\'bb\'fa\'c3\'dc\par b}", "a机密\nb"), "html": (b"<p>a</p><script>no</script><p>b&amp;c</p>", "a\n\nb&c"),
