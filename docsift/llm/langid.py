@@ -56,6 +56,8 @@ def _hashed(low: str) -> np.ndarray:
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)
     return g[letter[1:-1]].astype(np.uint16)
 
+CELLS = 1 << 20  # likelihoods held at once
+
 
 class Model:
     """languages; log-likelihoods by bucket and language; the least mean log-likelihood a trigram of each language's texts.
@@ -147,13 +149,19 @@ def _em(like: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.nda
     """By text: proportions of the allowed languages, log-likelihood (to a constant of the text), its rise along each language."""
     starts, doc = np.concatenate(([0], np.cumsum(size)[:-1])), np.repeat(np.arange(len(size)), size)
     pi = allowed / allowed.sum(axis=1, keepdims=True)
-    several = allowed.sum(axis=1).max(initial=0) > 1
-    for _ in range(ROUNDS if several else 0):
-        r = like * pi[doc]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-        last, pi = pi, np.add.reduceat(r, starts, axis=0) / size[:, None]
-        if np.abs(pi - last).max() < STILL:
+    moving = allowed.sum(axis=1) > 1
+    live, own, of = np.flatnonzero(moving), like[moving[doc]], np.repeat(np.arange(moving.sum()), size[moving])
+    for _ in range(ROUNDS):
+        if not len(live):
             break
+        now, n = pi[live], size[live]
+        r = own * now[of]
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+        pi[live] = np.add.reduceat(r, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None]
+        moving = np.abs(pi[live] - now).max(axis=1) >= STILL  # each text stops by itself, whatever it is dealt with
+        if not moving.all():
+            own, live = own[moving[of]], live[moving]
+            of = np.repeat(np.arange(len(live)), size[live])
     mix = np.maximum((like * pi[doc]).sum(axis=1), 1e-300)
     rise = np.add.reduceat(like / mix[:, None], starts, axis=0) - size[:, None]
     return pi, np.add.reduceat(np.log(mix), starts), rise
@@ -251,8 +259,12 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
         import pandas as pd
 
         texts, rows = list(t), []
-        for i in range(0, len(texts), 256):
-            rows += held.value.mixtures(texts[i : i + 256])
+        at, cells, wide = 0, 0, max(1, len(held.value.languages))
+        for i, x in enumerate(texts, 1):  # so many texts at once that their segments by languages stay few
+            cells += (len(x) // SEGMENT + 1) * wide
+            if cells > CELLS or i == len(texts):
+                rows += held.value.mixtures(texts[at:i])
+                at, cells = i, 0
         return pd.DataFrame({
             "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
             "mixture": [[{"language": a, "proportion": p} for a, p in r[2]] for r in rows],

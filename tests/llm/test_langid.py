@@ -99,3 +99,18 @@ def test_long_text_is_read_in_parts(monkeypatch):
     whole = langid.trigrams(text)
     monkeypatch.setattr(langid, "_CHUNK", 240)
     assert np.array_equal(langid.trigrams(text), whole)
+
+
+def test_a_result_is_of_the_text_alone(spark):
+    """Alone, in any batch and any partitioning the scores are equal to the last bit."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.where("text is not null").limit(80).collect()
+    texts = [r.text for r in rows]
+    texts += [a[:400] + b[:300] + c[:500] for a, b, c in zip(texts, texts[20:], texts[40:])]
+    together = model.mixtures(texts)
+    assert [model.mixtures([t])[0] for t in texts] == together
+    assert model.mixtures(texts[::-1])[::-1] == together
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = lambda n: [tuple(r) for r in langid.predicted(df.repartition(n), model).select("doc_id", "lang_pred", "score").orderBy("doc_id").collect()]
+    assert of(1) == of(7) == [(i, r[0], r[1]) for i, r in enumerate(together)]
