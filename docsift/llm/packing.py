@@ -4,10 +4,12 @@ A document is its token ids and one end id. What fills whole windows is cut off
 partner; the rest of a document, or a short document, is one item. Each partition packs its items in
 batches of a fixed number of windows: every item starts as a partial partition of the batch into windows
 (itself and empty ones), and the two partial partitions of widest spread merge, the fullest windows of
-one meeting the emptiest of the other, until one partition is left. Where a window of it passes the
-capacity, the batch is parted again into one window more. Whole documents can't always be even; what
-still passes the capacity is cut off and goes to the emptiest windows. So most documents stay in one
-piece. The tokens that fill no window at a partition's end become windows of power-of-two length.
+one meeting the emptiest of the other, until one partition is left. Partial partitions are held without
+their empty windows, and documents under LEAST tokens join the next ones to an item of that size, so a
+batch of the smallest documents is a few thousand items. While a window passes the capacity, the batch
+is parted again into one window more, up to SPARE more; more would be padding, and what then still
+passes the capacity is cut off and goes to the emptiest windows. So most documents stay in one piece.
+The tokens that fill no window at a partition's end become windows of power-of-two length.
 
 No token is shuffled: a partition reads, encodes, cuts and packs in one pass, holding one batch.
 """
@@ -30,46 +32,71 @@ TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 1
 WINDOWS = 256
+LEAST = 64  # tokens of an item
+SPARE = 1 / 128  # part of a batch's windows by which their number may rise
 
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
-    """The window of each size, by Karmarkar-Karp differencing into that many windows."""
+    """The window of each size, by Karmarkar-Karp differencing into that many windows.
+
+    A partial partition is its loads in falling order without those at the end that are its least, which
+    count as 0: an item alone is one number, whatever the number of windows.
+    """
     if not sizes:
         return np.zeros(0, np.int64)
-    heap, loads, merges = [], [], []
-    for i, s in enumerate(sizes):
-        at = np.zeros(windows, np.int64)
-        at[0] = s  # fullest first, always
-        loads.append(at)
-        heap.append((-s if windows > 1 else 0, i))
+    loads: list[np.ndarray | None] = [np.array([s], np.int64) for s in sizes]
+    heap, merges = [(-s if windows > 1 else 0, i) for i, s in enumerate(sizes)], []
     heapq.heapify(heap)
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        total = loads[a] + loads[b][::-1]
-        order = np.argsort(-total, kind="stable")
-        total = total[order]
-        merges.append((a, b, order))
+        x, y = loads[a], loads[b]
         loads[a] = loads[b] = None
-        loads.append(total - total[-1])
-        heapq.heappush(heap, (int(total[-1] - total[0]), len(loads) - 1))
-    of, top = np.zeros(len(sizes), np.int64), {len(loads) - 1: np.arange(windows)}
+        if len(x) + len(y) <= windows:  # no window of one meets one of the other
+            order = np.argsort(-np.concatenate((x, y)), kind="stable")
+            total, merged = np.concatenate((x, y))[order], (a, b, len(x), order.astype(np.int32), False)
+        else:
+            total = np.zeros(windows, np.int64)
+            total[: len(x)] = x
+            total[windows - len(y) :] += y[::-1]
+            order = np.argsort(-total, kind="stable")
+            total, merged = total[order], (a, b, len(x), order.astype(np.int32), True)
+            total = total - total[-1]
+            total = total[: max(1, np.count_nonzero(total))]
+        merges.append(merged)
+        loads.append(total)
+        heapq.heappush(heap, (-int(total[0]) if windows > 1 and len(total) < windows else int(total[-1] - total[0]), len(loads) - 1))
+    # From the last merge back: which window each place of a partial partition is. Places that it does not
+    # hold are empty ones, in any order: all windows that its places don't name.
+    of, top = np.zeros(len(sizes), np.int64), {len(loads) - 1: np.arange(windows, dtype=np.int32)}
+
+    def put(part: int, places: np.ndarray) -> None:
+        if part < len(sizes):
+            of[part] = places[0]
+        else:
+            top[part] = places
+
     for k in range(len(merges) - 1, -1, -1):
-        a, b, order = merges[k]
-        mine = np.empty(windows, np.int64)
-        mine[order] = top.pop(len(sizes) + k)
-        top[a], top[b] = mine, mine[::-1]
-    for i in range(len(sizes)):
-        of[i] = top[i][0]
+        a, b, n, order, full = merges[k]
+        given = top.pop(len(sizes) + k)
+        mine = np.empty(len(order), np.int32)
+        mine[order] = given[: len(order)]
+        if full:
+            put(a, mine)
+            put(b, mine[::-1])
+        else:
+            put(a, np.concatenate((mine, given[len(order) :])))
+            put(b, np.concatenate((mine[n:], mine[:n], given[len(order) :])))
     return of
 
 
 def balanced(sizes: list[int], windows: int, capacity: int) -> tuple[np.ndarray, int]:
-    """differencing() into windows, or into one more where a window would pass the capacity; and their number."""
-    of = differencing(sizes, windows)
-    if np.bincount(of, sizes, minlength=1).max(initial=0) > capacity:
-        windows += 1
+    """differencing() into windows; while one passes the capacity, into one more, up to SPARE more (one at least). And their number."""
+    most = windows + max(1, int(windows * SPARE))
+    while True:
         of = differencing(sizes, windows)
-    return of, windows
+        if windows == most or np.bincount(of, sizes, minlength=1).max(initial=0) <= capacity:
+            return of, windows
+        windows += 1
 
 
 Piece = tuple[int, int, int]
@@ -110,7 +137,8 @@ class _Packer:
 
     def __init__(self, capacity: int, windows: int, first: int):
         self.capacity, self.next, self.fill = capacity, first, windows * capacity
-        self.wait, self.held, self.rows = [], 0, []
+        self.wait, self.held, self.rows = [], 0, []  # wait: items, each of pieces of whole documents
+        self.small: list[Piece] = []
 
     def add(self, doc: int, n: int) -> None:
         full = n // self.capacity * self.capacity
@@ -119,8 +147,22 @@ class _Packer:
         if full < n:
             if self.held + n - full > self.fill:
                 self.flush()
-            self.wait.append((doc, full, n - full))
             self.held += n - full
+            if n - full >= LEAST:
+                self.wait.append([(doc, full, n - full)])
+                return
+            self.small.append((doc, full, n - full))
+            if sum(p[2] for p in self.small) >= LEAST:
+                self.bundle()
+
+    def bundle(self) -> None:
+        """Documents too small for an item of their own as one."""
+        if self.small:
+            self.wait.append(self.small)
+            self.small = []
+
+    def waiting(self) -> set[int]:
+        return {p[0] for item in [*self.wait, self.small] for p in item}
 
     def put(self, pieces: list[tuple[int, int, int]]) -> None:
         at = 0
@@ -130,12 +172,14 @@ class _Packer:
         self.next += 1
 
     def flush(self) -> None:
+        self.bundle()
         if not self.wait:
             return
-        of, windows = balanced([p[2] for p in self.wait], max(1, -(-self.held // self.capacity)), self.capacity)
+        sizes = [sum(p[2] for p in item) for item in self.wait]
+        of, windows = balanced(sizes, max(1, -(-self.held // self.capacity)), self.capacity)
         into: list[list[Piece]] = [[] for _ in range(windows)]
-        for p, w in zip(self.wait, of.tolist()):
-            into[w].append(p)
+        for item, w in zip(self.wait, of.tolist()):
+            into[w] += item
         for pieces in within_capacity(into, self.capacity):
             if pieces:
                 self.put(pieces)
@@ -143,13 +187,17 @@ class _Packer:
 
     def close(self) -> None:
         """What is left: full windows as before, then windows of power-of-two length."""
+        self.bundle()
         over = self.held % self.capacity
         tail = []
         while over and self.wait:
-            doc, s, n = self.wait.pop()
+            item = self.wait[-1]
+            doc, s, n = item.pop()
             take = min(n, over)
             if take < n:
-                self.wait.append((doc, s, n - take))
+                item.append((doc, s, n - take))
+            if not item:
+                self.wait.pop()
             tail.append((doc, s + n - take, take))
             over -= take
             self.held -= take
@@ -200,7 +248,7 @@ def pack(
             ]
             if with_ids:
                 cols.append(pa.array([d.astype(np.int64) for d in data], pa.list_(pa.int64())))
-            waits = {p[0] for p in packer.wait}
+            waits = packer.waiting()
             for k in [k for k in known if k not in waits]:
                 del known[k]
             return pa.RecordBatch.from_arrays(cols, names=["id", *names, *["ids"] * with_ids])

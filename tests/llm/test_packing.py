@@ -95,3 +95,55 @@ def test_encoder_gives_the_librarys_ids():
     for _ in range(500):
         t = "".join(rng.choice(pool) for _ in range(rng.randrange(80)))
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+def spread(sizes, windows):
+    """The least possible greatest load, over all ways."""
+    best, loads = [sum(sizes)], [0] * windows
+
+    def deal(i):
+        if max(loads) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = max(loads)
+            return
+        for w in range(min(windows, i + 1)):
+            loads[w] += sizes[i]
+            deal(i + 1)
+            loads[w] -= sizes[i]
+
+    deal(0)
+    return best[0]
+
+
+def test_differencing_against_the_best_of_all_ways():
+    rng = random.Random(4)
+    for _ in range(60):
+        windows, sizes = rng.randrange(2, 5), [rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))]
+        most = np.bincount(packing.differencing(sizes, windows), sizes).max()
+        best = spread(sizes, windows)
+        assert best <= most <= best * 4 / 3 + 1
+
+
+def test_a_batch_of_the_smallest_documents_stays_small():
+    import tracemalloc
+
+    packer = packing._Packer(packing.CAPACITY, packing.WINDOWS, 0)
+    tracemalloc.start()
+    for i in range(packer.fill + 5):
+        packer.add(i, 1)
+    packer.close()
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20  # the pieces themselves are most of it
+    tracemalloc.stop()
+    assert len({r[0] for r in packer.rows}) == packer.fill + 5
+    loads = {}
+    for _, _, n, s, _ in packer.rows:
+        loads[s] = loads.get(s, 0) + n
+    assert sorted(loads.values())[2:] == [packing.CAPACITY] * packing.WINDOWS and sum(sorted(loads.values())[:2]) == 5
+
+
+def test_many_windows_rise_until_documents_fit():
+    rng = random.Random(6)
+    sizes = [rng.randrange(300, 1500) for _ in range(570)]
+    of, windows = packing.balanced(sizes, -(-sum(sizes) // 2048), 2048)
+    assert windows <= -(-sum(sizes) // 2048) * (1 + packing.SPARE) + 1
