@@ -3,8 +3,10 @@
 Slots of equal token counts are dealt to sources: slot i is the golden-ratio point i * 2654435769 mod
 2^32, which falls into one source's share of the cumulative targets. The slots of a source are ranked;
 rank r takes block r of that source's stream, which is the source's documents in hashed order, cut into
-blocks of as many tokens, three times over at most. So every stretch of the mix holds the sources close
-to their targets, and a source's total is off by a few blocks at most.
+blocks of as many tokens, three times over at most. A source has as many blocks as its target fills, the
+last in part: slots dealt beyond them stay empty, and blocks that no slot was dealt to (a few at most)
+follow at the end of the mix. So every stretch of the mix holds the sources close to their targets, and
+every source takes its target to the word, however small it is beside a block.
 
 Offsets and ranks are prefix sums in two levels (a hash range or a run of slots at a time, then their
 totals), so a source with most rows is spread over many tasks. Texts are only read to count words.
@@ -94,8 +96,10 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, taken (words the mix takes, repeats counted).
+    """One row per row of docs: id_col, size, source_size, target, taken (words the mix takes, repeats counted), first_slot.
 
+    first_slot is the first slot of the mix that holds words of the document; null where none does or only
+    blocks that follow all slots. The taken words of a source are its target, rounded.
     A null text has no words and is never taken; null sources form one source, the last. Repeated rows
     are documents of their own. Reruns agree, however rows are partitioned. Other columns are ignored.
     """
@@ -110,15 +114,22 @@ def mix(
         sources, F.col("own").eqNullSafe(F.col("source"))
     ).select("id", "rank", "size", "h", "start", "source_size", "target")
     placed = common.written(named.withColumn("row", F.monotonically_increasing_id()))
-    slots_of = schedule(spark, sources, -(-total // tokens)).select("rank", "block")
-    held = placed.where("size > 0").select("row", "rank", "size", F.explode(F.expr(f"transform(sequence(0, {epochs - 1}), e -> e * source_size + start)")).alias("at"))
-    parts = held.select("row", "rank", "at", (F.col("at") + F.col("size")).alias("to"), F.explode(F.sequence(F.floor(F.col("at") / tokens), F.floor((F.col("at") + F.col("size") - 1) / tokens))).alias("block"))
+    slots_of = schedule(spark, sources, -(-total // tokens))
+    held = placed.where("size > 0").select("row", "rank", "size", F.round("target").cast("long").alias("most"), F.explode(F.expr(f"transform(sequence(0, {epochs - 1}), e -> e * source_size + start)")).alias("at")).where("at < most")
+    held = held.withColumn("to", F.least(F.col("at") + F.col("size"), F.col("most")))
+    parts = held.select("row", "rank", "at", "to", F.explode(F.sequence(F.floor(F.col("at") / tokens), F.floor((F.col("to") - 1) / tokens))).alias("block"))
     cut = parts.withColumn("n", F.least(F.col("to"), (F.col("block") + 1) * tokens) - F.greatest(F.col("at"), F.col("block") * tokens))
-    taken = cut.join(slots_of, ["rank", "block"]).groupBy("row").agg(F.sum("n").alias("taken"))
+    taken = cut.join(slots_of, ["rank", "block"], "left").groupBy("row").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"))
     return placed.join(taken, "row", "left").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot for every row of documents.
+
+    Null and blank texts have no words and are never taken; null sources form one source, the last; equal
+    ids and repeated rows are documents each; ties in the hashed order go by id, then size; an empty table
+    gives no rows; other columns are ignored.
+    """
     return mix(common.table(spark, sf_dir, "documents"))

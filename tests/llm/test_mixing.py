@@ -66,3 +66,16 @@ def test_empty_and_blank(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     r = mixing.mix(spark.createDataFrame([(1, None, "a", "", 0), (2, " ", None, "", 0)], SCHEMA)).collect()
     assert [(x.size, x.target, x.taken) for x in r] == [(0, 0.0, 0)] * 2
+
+
+def test_small_sources_meet_their_targets_whatever_the_block(spark, monkeypatch):
+    """Sources far below a block take their target to the word, in large blocks and in small ones."""
+    monkeypatch.setattr(mixing, "MOST_TOKENS", 2048)
+    rows = [(i, "w " * 1000, "big", "", 0) for i in range(400)] + [(1000, "w " * 500, "tiny", "", 0), (1001, "w " * 2, "two", "", 0)]
+    for slots in (200, 200_000):
+        got = mixing.mix(spark.createDataFrame(rows, SCHEMA), slots=slots).collect()
+        of = {}
+        for r, (_, _, s, *_) in zip(sorted(got, key=lambda r: r.doc_id), rows):
+            of.setdefault(s, [r.target, 0])[1] += r.taken
+            assert r.taken <= 3 * r.size
+        assert all(taken == round(target) for target, taken in of.values()) and of["tiny"][1] == 1500 and of["two"][1] == 6
