@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir.
 
-    Where that is unset, a session in one process gets a temporary folder of its own; on a cluster there
-    is no folder that all executors are known to share, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="docsift-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/docsift/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table on shared storage: lineage ends there and lost executors lose nothing."""
+def written(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df as a Parquet table on shared storage: lineage ends there and lost executors lose nothing. parts: files at most."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docsift_path = path
     return out
@@ -61,6 +42,9 @@ def fold(id_col: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % folds
 
 
+EDGES = 1_000_000
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -71,27 +55,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Contraction: every node moves to the neighbour (or itself) of lowest random rank, edges follow,
     loops vanish. Ranks hold for three rounds, so a group around a leader needs two, a clique one; then
     they are drawn anew, so chains shrink by a constant factor. Nodes without an edge to another node
-    don't appear.
+    don't appear. Tables get a file for each EDGES edges that were left, so late rounds are few tasks.
     """
     cur = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     moved, turn = None, 0
-    while not is_empty(cur):
+    files = lambda n: max(6, n // EDGES)
+    first = files(cur.count())
+    while left := cur.count():
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn // 3), F.col(c)).alias("r"), F.col(c).alias("v"))
         up = written(
             both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-            .select(F.col("a").alias("node"), F.least(F.col("m"), rank("a")).getField("v").alias("to"))
+            .select(F.col("a").alias("node"), F.least(F.col("m"), rank("a")).getField("v").alias("to")), files(left)
         )
         step = up.withColumnRenamed("node", "label")
         last = moved
         moved = written(
             up.withColumnRenamed("to", "label") if moved is None
-            else moved.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            else moved.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), first
         )
         e1 = cur.join(up.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
         e2 = e1.join(up.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         new = written(
-            e2.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+            e2.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), files(left)
         )
         discard(cur, up, last)
         cur, turn = new, turn + 1
