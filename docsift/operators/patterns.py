@@ -9,8 +9,9 @@ one whole run. Patterns under 8 bytes are their own window, and a text's keys ar
 of that length. Only tiers that the patterns use are computed.
 
 Of a pattern's possible keys the one that fewest patterns share is taken, so patterns with a common
-beginning don't meet at one key. Spark broadcasts the patterns' keys where they are small and shuffles
-otherwise; texts move only where a key of theirs met a pattern.
+beginning don't meet at one key. Up to FEW keys of patterns are sent to the tasks, and texts give out only
+keys that are among them; beyond, all keys of texts meet them in the join. Texts move only where a key of
+theirs met a pattern.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 TIERS = (128, 32, 8)  # least lengths in bytes; below the last, each length by itself
 BLOCK = 1 << 20
+FEW = 100_000  # pattern keys that go to the tasks, 0.8 MB, so that texts give out only keys that meet one
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -52,8 +56,8 @@ def _hashed(data: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def keys(data: bytes, tier: int) -> np.ndarray:
-    """The different keys of some bytes in a tier, ascending; none if they are shorter than the tier."""
+def keys(data: bytes, tier: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The different keys of some bytes in a tier, ascending, of wanted ones (ascending) if given; none if they are shorter than the tier."""
     if len(data) < tier:
         return np.zeros(0, np.int64)
     short = tier < TIERS[-1]
@@ -67,11 +71,14 @@ def keys(data: bytes, tier: int) -> np.ndarray:
             span *= 2
         if span < run:
             h = np.minimum(h[: len(h) - (run - span)], h[run - span :])
+        h = h.view(np.int64)
+        if wanted is not None:
+            h = h[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h]
         found.append(np.unique(h))
-    return np.unique(np.concatenate(found)).view(np.int64)
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
 
 
-def _keyed(df: DataFrame, content: str, tiers: list[int], own_tier: bool = False) -> DataFrame:
+def _keyed(df: DataFrame, content: str, tiers: list[int], own_tier: bool = False, wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
     """df without content, and tier and keys (array): of each tier, or with own_tier of the row's own column tier."""
     names = [c for c in df.columns if c not in (content, "tier")]
     src = df.select(*names, *["tier"] * own_tier, F.col(content).alias("_content"))
@@ -84,7 +91,7 @@ def _keyed(df: DataFrame, content: str, tiers: list[int], own_tier: bool = False
             for i, c in enumerate(b.column(b.num_columns - 1)):
                 data = c.as_py()
                 for t in [mine[i].as_py()] if own_tier else tiers:
-                    k = keys(data, t) if data else ()
+                    k = keys(data, t, wanted and wanted[t]) if data else ()
                     if len(k):
                         at.append(i)
                         tier.append(t)
@@ -107,10 +114,12 @@ def pattern_keys(patterns: DataFrame, pattern: str) -> DataFrame:
 
 def candidates(texts: DataFrame, content: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """(_digest, _pattern): MD5 of texts and the different patterns that share a key with them; a superset of what they contain."""
-    known = pattern_keys(patterns, pattern)
-    tiers = sorted(r.tier for r in patterns.select(tier_of(F.octet_length(pattern)).alias("tier")).where("tier > 0").distinct().collect())  # ten at most
+    known = written(pattern_keys(patterns, pattern))
+    tiers = sorted(r.tier for r in known.select("tier").distinct().collect())  # ten at most
+    few = known.select("tier", "key").distinct().limit(FEW + 1).collect()
+    wanted = {t: np.array(sorted(r.key for r in few if r.tier == t), np.int64) for t in tiers} if len(few) <= FEW else None
     t = texts.select(F.md5(content).alias("_digest"), F.col(content).alias("_content")).where(F.octet_length("_content") > 0)
-    found = _keyed(t, "_content", tiers).select("_digest", "tier", F.explode("keys").alias("key"))
+    found = _keyed(t, "_content", tiers, wanted=wanted).select("_digest", "tier", F.explode("keys").alias("key"))
     return found.join(known, ["tier", "key"]).select("_digest", "_pattern").distinct()
 
 

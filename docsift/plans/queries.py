@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -744,6 +745,10 @@ def pdf_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", F.size("pages").cast("bigint").alias("pages"), F.md5(whole).alias("text_md5"), F.md5(pdf.line_text(whole)).alias("lines_md5"))
 
 
+#: A pack whose marker words occur in documents without Han characters.
+_PDF_PACK = replace(LATIN, strict_marker=r"(license|Licensed|@[a-z]+)[^.\n]{0,20}")
+
+
 def _pages_sql(pack: Pack) -> str:
     """(doc_id, matched, level) of the first of the first five pages with a strict marker."""
     p, page = pack.strict_marker, f"array_to_string(string_split(text, chr(10))[i * {_PAGE_LINES} + 1:i * {_PAGE_LINES} + {_PAGE_LINES}], chr(10))"
@@ -753,7 +758,7 @@ def _pages_sql(pack: Pack) -> str:
 
 
 @query(f"""SELECT d.doc_id, {sql.q(dispatch.DESC)} || matched AS rule_desc, matched AS highlight_text, (CASE WHEN level = 0 THEN 4 ELSE level END)::BIGINT AS file_level, 'pdf/' || d.doc_id || '.pdf' AS file_path, 2::BIGINT AS alert_type
- FROM documents d JOIN {_pages_sql(LATIN)} p ON d.doc_id = p.doc_id""")
+ FROM documents d JOIN {_pages_sql(_PDF_PACK)} p ON d.doc_id = p.doc_id""")
 def pdf_file_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PDF files to alerts: type of the bytes, pages, marker by page, alert record."""
     return _pdf_alerts(spark, sf_dir).select("doc_id", "rule_desc", "highlight_text", *longs("file_level"), "file_path", *longs("alert_type"))
@@ -762,7 +767,7 @@ def pdf_file_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pdf_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _pdfs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = pdf.pages(files.withColumn("bytes", F.col("content")), keep=("doc_id", "bytes"))
-    hit = dispatch.marker_hit(F.col("bytes"), F.lit(None).cast("string"), LATIN, pages=F.col("pages"))
+    hit = dispatch.marker_hit(F.col("bytes"), F.lit(None).cast("string"), _PDF_PACK, pages=F.col("pages"))
     path = F.concat(F.lit("pdf/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
     found = once(read, {"hit": hit}).where("hit is not null")

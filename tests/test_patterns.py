@@ -2,6 +2,7 @@ import base64
 import random
 
 import numpy as np
+import pytest
 from docsift.operators import hashing, keywords, patterns
 from pyspark.sql import functions as F
 
@@ -21,7 +22,10 @@ def test_keys_of_a_pattern_are_among_the_texts(monkeypatch):
     assert len(sparse) < 100_000 * 2.5 / 65
 
 
-def test_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [patterns.FEW, 0])
+def test_pairs_equal_brute_force(spark, monkeypatch, few):
+    """With the patterns' keys at the tasks, and with all keys in the join."""
+    monkeypatch.setattr(patterns, "FEW", few)
     rng = random.Random(2)
     words = [bytes(rng.choice(b"ab ") for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 33, 130]))) for _ in range(150)]
     common = bytes(rng.choice(b"xyz") for _ in range(300))
