@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
-from docsift.llm import common
+from docsift.llm import common, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int, mixture string"
 
@@ -89,6 +89,40 @@ def test_near_copies_of_similarity_above_limit_go(spark):
     assert sum(i >= 1000 for i in got) == 1
 
 
+def test_crowd_around_the_limit_against_all_pairs(spark):
+    """Texts near one base, most pairs just below the limit: links are those of all pairs but for a few at the very limit."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randrange(2, 12)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(300))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    low = 0
+    for i in range(300):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+            else:
+                low += 1
+    want = {i for i in range(300) if find(i) == i}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id for r in simhash.first_of_similar(docs).collect()}
+    assert low > 20_000 and len(want) > 20
+    assert want <= got and len(got - want) <= 0.05 * 300
+
+
 def test_languages_mixed_stay_and_unlearnt_text_goes(spark):
     rng = random.Random(3)
     words = {k: ["".join(rng.choice(s) for _ in range(5)) for _ in range(60)] for k, s in {"aa": "thonrewhs", "bb": "léoiuxqamp", "cc": "ßäüdlkztei"}.items()}
