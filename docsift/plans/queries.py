@@ -14,7 +14,7 @@ from ..functions.columns import once
 from ..functions.tables import shared_dir
 from ..operators import alerts, dispatch, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
 from ..sources import files, pdf
-from ..streaming import stateful, streams
+from ..streaming import monitor, stateful, streams
 from . import sql
 from .packs import KEYWORD_ORDER, LATIN, OFFICIAL, OFFICIAL_COMPAT, Pack
 
@@ -598,6 +598,27 @@ def conn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.connection_stats(e, "event_type", "status", "user_id")
 
 
+@query("""WITH c AS (SELECT event_id % 12 AS batch, (user_id % 223 + 1) || '.0.0.' || (user_id % 50) AS ip, user_id % 223 + 1 AS head FROM events),
+ n AS (SELECT batch, count(*) AS k FROM c GROUP BY batch),
+ s AS (SELECT batch, count(*) AS a FROM (SELECT ip, min(batch) AS batch FROM c WHERE head NOT BETWEEN 16 AND 31 AND ip <> '127.0.0.1' GROUP BY ip) GROUP BY batch),
+ i AS (SELECT event_id % 12 AS batch, count(*) AS k, count(*) FILTER (WHERE event_id % 5 = 0 OR event_id % 7 <> c_custkey % 7) AS a
+  FROM events JOIN customer ON user_id = c_custkey GROUP BY 1),
+ b AS (SELECT 'network' AS monitor, batch, k, coalesce(a, 0) AS a FROM n LEFT JOIN s USING (batch) UNION ALL SELECT 'integrity', batch, k, a FROM i)
+SELECT monitor, batch, count(*) OVER w AS scans, (sum(k) OVER w)::BIGINT AS checked, (sum(a) OVER w)::BIGINT AS alerts FROM b
+WINDOW w AS (PARTITION BY monitor ORDER BY batch)""")
+def monitor_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counters of the network and the integrity monitor over batches of events."""
+    e = table(spark, sf_dir, "events").withColumn("batch", F.col("event_id") % 12)
+    conn = e.select("batch", F.concat(F.col("user_id") % 223 + 1, F.lit(".0.0."), F.col("user_id") % 50).alias("remote_ip"))
+    allowed = spark.createDataFrame([("16.0.0.0/4",)], "entry string")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.md5((F.col("c_custkey") % 7).cast("string")).alias("digest"))
+    digest = F.when(F.col("event_id") % 5 != 0, F.md5((F.col("event_id") % 7).cast("string")))
+    files = e.select("batch", F.col("user_id").alias("path"), digest.alias("digest")).join(known.select("path"), "path", "left_semi")
+    net_ = monitor.totals(monitor.counted(conn), monitor.network_seen(conn, allowed), once=True)
+    own = monitor.totals(monitor.counted(files), monitor.integrity_seen(files, known), once=False)
+    return net_.select(F.lit("network").alias("monitor"), "*").unionByName(own.select(F.lit("integrity").alias("monitor"), "*"))
+
+
 @query("SELECT coalesce(b.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN b.path IS NULL THEN 'added' ELSE 'modified' END AS state FROM (SELECT doc_id AS path, md5(text) AS d FROM documents WHERE doc_id % 5 <> 0) b FULL JOIN (SELECT doc_id AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS d FROM documents WHERE doc_id % 11 <> 0) n ON b.path = n.path WHERE b.path IS NULL OR n.path IS NULL OR b.d <> n.d")
 def integrity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

@@ -2,7 +2,7 @@ import random
 import time
 
 from docsift.operators import policy
-from docsift.streaming import stateful, streams
+from docsift.streaming import monitor, stateful, streams
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,36 @@ def test_reports_list_successes_and_failures(spark):
     done = spark.createDataFrame([("m", 1, "add", 2, True, None), ("m", 1, "add", 1, True, None), ("m", 2, "del", 9, False, "x" * 300)], "module string, version long, cmd string, rule_id long, ok boolean, msg string")
     got = sorted(tuple(r) for r in policy.reports(done, F.lit("2024-01-01 00:00:00")).collect())
     assert got == [("2024-01-01 00:00:00", "policy", "add", "m", "1", [1, 2], []), ("2024-01-01 00:00:00", "policy", "del", "m", "2", [], [(9, "x" * 128)])]
+
+
+def test_monitor_counters_of_a_stream_are_those_of_the_batches(spark, tmp_path):
+    allowed = spark.createDataFrame([("10.0.0.0/8",), ("::1",)], "entry string")
+    batches = [
+        [("10.1.1.1",), ("8.8.8.8",), ("8.8.8.8",), (None,), ("",), ("0.0.0.0",)], [("10.2.2.2",), ("127.0.0.1",)],
+        [("8.8.8.8",), ("9.9.9.9",), ("2001:db8::1",)],
+    ]
+    feed = fed(spark, str(tmp_path / "in"), batches, "remote_ip string")
+    seen = lambda df: monitor.network_seen(df, allowed)
+    put = monitor.sink(str(tmp_path / "out"), seen)
+
+    def twice(df, batch):  # a repeated batch counts once
+        put(df, batch)
+        put(df, batch)
+
+    streams.run_to(feed, twice, str(tmp_path / "checkpoint")).awaitTermination(200)
+    got = sorted(map(tuple, monitor.streamed(spark, str(tmp_path / "out"), once=True).collect()))
+    assert got == [(0, 1, 6, 1), (1, 2, 8, 1), (2, 3, 11, 3)]
+    rows = spark.createDataFrame([(i, *r) for i, b in enumerate(batches) for r in b], "batch long, remote_ip string")
+    whole = monitor.totals(monitor.counted(rows), seen(rows), once=True)
+    assert sorted(map(tuple, whole.collect())) == got
+    named = sorted(map(tuple, monitor.blocked(spark, str(tmp_path / "out")).collect()))
+    assert named == [("2001:db8::1", 2), ("8.8.8.8", 0), ("9.9.9.9", 2)]
+
+
+def test_monitor_counts_every_odd_check(spark):
+    base = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, digest string")
+    files = spark.createDataFrame([(0, "a", "1"), (0, "b", None), (1, "a", "x"), (1, "b", "2"), (2, "a", "x"), (2, "b", "y")], "batch long, path string, digest string")
+    got = monitor.totals(monitor.counted(files), monitor.integrity_seen(files, base), once=False)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 1), (1, 2, 4, 2), (2, 3, 6, 4)]
+    none = files.where("false")
+    assert monitor.totals(monitor.counted(none), monitor.integrity_seen(none, base), once=False).count() == 0
