@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.columns import once
 from ..functions.tables import shared_dir
-from ..operators import alerts, dispatch, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
+from ..operators import alerts, dispatch, failures, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
 from ..sources import files, pdf
 from ..streaming import monitor, stateful, streams
 from . import sql
@@ -598,6 +598,23 @@ def conn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.connection_stats(e, "event_type", "status", "user_id")
 
 
+@query("""SELECT code, coalesce(code = 1002, false) AS recoverable, attempt, count(*) AS n FROM (
+ SELECT CASE WHEN text IS NULL OR text = '' THEN 2001 WHEN length(text) > 20000 THEN 2002 WHEN NOT regexp_matches(text, '[A-Za-z]') THEN 5002
+   WHEN doc_id % 9 = 0 AND doc_id % 5 >= 3 THEN 1002 END AS code,
+  CASE WHEN text IS NULL OR text = '' OR length(text) > 20000 OR NOT regexp_matches(text, '[A-Za-z]') OR doc_id % 9 <> 0 THEN 1
+   ELSE least(doc_id % 5 + 1, 3) END::INT AS attempt FROM documents) GROUP BY ALL""")
+def failures_after_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that documents end with: some fail for good, every ninth is given a timeout for its first doc_id % 5 attempts."""
+
+    def process(rows: DataFrame, attempt: int) -> DataFrame:
+        c, t = failures.CODES, F.col("text")
+        code = F.when(t.isNull() | (t == ""), c["file_empty"]).when(F.length(t) > 20_000, c["file_too_large"])
+        code = code.when(~F.rlike(t, F.lit("[A-Za-z]")), c["invalid_content"])
+        return rows.withColumn("code", code.when((F.col("doc_id") % 9 == 0) & (F.col("doc_id") % 5 >= attempt), c["timeout"]))
+
+    return failures.by_code(failures.attempted(table(spark, sf_dir, "documents").select("doc_id", "text"), process))
+
+
 @query("""WITH c AS (SELECT event_id % 12 AS batch, (user_id % 223 + 1) || '.0.0.' || (user_id % 50) AS ip, user_id % 223 + 1 AS head FROM events),
  n AS (SELECT batch, count(*) AS k FROM c GROUP BY batch),
  s AS (SELECT batch, count(*) AS a FROM (SELECT ip, min(batch) AS batch FROM c WHERE head NOT BETWEEN 16 AND 31 AND ip <> '127.0.0.1' GROUP BY ip) GROUP BY batch),
