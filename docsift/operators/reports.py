@@ -46,3 +46,27 @@ def most_common(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def distinct_in_order(values: Column) -> Column:
     """An array without repeats, first ones kept."""
     return F.array_distinct(values)
+
+
+# Kind, subject and risk of security events, the greatest length of their messages in characters.
+ABNORMAL, SIGNATURE, NETWORK = 1, ("签名异常", 4), ("通信 IP 异常", 3)
+MESSAGE = 128
+
+
+def _event(subject: tuple[str, int], time: Column, message: Column) -> Column:
+    name, risk = subject
+    return F.struct(
+        F.lit(ABNORMAL).alias("event_type"), F.lit(name).alias("event_sub_type"), time.alias("time"),
+        F.lit(risk).alias("risk"), F.left(message, F.lit(MESSAGE)).alias("msg"),
+    )
+
+
+def signature_event(time: Column, message: Column) -> Column:
+    """A file whose signature is wrong; a null message is empty."""
+    return _event(SIGNATURE, time, F.coalesce(message, F.lit("")))
+
+
+def network_event(time: Column, remote_ip: Column, message: Column) -> Column:
+    """A connection that is not allowed; without a message (null or empty) one that names the address."""
+    named = F.concat(F.lit("Detected unauthorized communication with "), F.coalesce(remote_ip, F.lit("")))
+    return _event(NETWORK, time, F.when(message != "", message).otherwise(named))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import once
-from ..functions.tables import shared_dir
+from ..functions.tables import numbered, shared_dir
 from ..operators import alerts, dispatch, failures, features, hashing, integrity, keywords, markers, net, policy, reports, score, sniff, style
-from ..sources import files, pdf
+from ..sources import files, pdf, stores
 from ..streaming import monitor, stateful, streams
 from . import sql
 from .packs import KEYWORD_ORDER, LATIN, OFFICIAL, OFFICIAL_COMPAT, Pack
@@ -912,6 +912,44 @@ def events_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+# Events as records of all stores, pushed in three parts of the day with a flush before the last.
+_STORE_OF = {"click": "alerts", "view": "audit_logs", "signup": "security_reports", "purchase": "command_results", "error": "alert_logs"}
+_STORE_SQL = f"CASE {' '.join(f'WHEN event_type = {sql.q(k)} THEN {sql.q(n)}' for k, n in _STORE_OF.items())} ELSE 'policy_results' END"
+_LIMIT_SQL = f"CASE {' '.join(f'WHEN store = {sql.q(n)} THEN {k}' for n, k in stores.LIMITS.items())} END"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, value, {_STORE_SQL} AS store, CASE WHEN hour(ts) < 8 THEN 1 WHEN hour(ts) < 16 THEN 2 ELSE 3 END AS push FROM events),
+ s AS (SELECT *, push = 3 AS now, row_number() OVER (PARTITION BY store, push = 3 ORDER BY push, ts NULLS FIRST, event_id NULLS FIRST) <= {_LIMIT_SQL} AS first FROM e)
+ SELECT event_id, store, value, now AND first AS front, row_number() OVER (PARTITION BY store ORDER BY NOT (now AND first), now, first, push, ts NULLS FIRST, event_id NULLS FIRST) AS place FROM s""")
+def store_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as popped from their stores: the front first, then spilled ones as they went down, with their place."""
+    store = F.lit("policy_results")
+    for kind, name in _STORE_OF.items():
+        store = F.when(F.col("event_type") == kind, name).otherwise(store)
+    part = F.when(F.hour("ts") < 8, 1).when(F.hour("ts") < 16, 2).otherwise(3)
+    records = table(spark, sf_dir, "events").select("event_id", "ts", "value", store.alias("store"), part.alias("part"))
+    line = stores.Stores(spark, shared_dir(spark), b"0123456789abcdef")
+    for n in (1, 2, 3):
+        if n == 3:
+            line.flush()
+        line.push(records.where(F.col("part") == n), "store", ["ts", "event_id"])
+    rows = numbered(line.pop("event_id bigint, value double").records, ["store", "line"], "n")
+    start = rows.groupBy("store").agg((F.min("n") - 1).alias("before"))
+    return rows.join(start, "store").select("record.event_id", "store", "record.value", "front", (F.col("n") - F.col("before")).alias("place"))
+
+
+@query(f"""SELECT doc_id, 1::BIGINT AS event_type, '通信 IP 异常' AS event_sub_type, 3::BIGINT AS risk, 'Detected unauthorized communication with ' || remote_ip AS msg FROM {_BAD}
+ UNION ALL SELECT doc_id, 1, '签名异常', 4, left(coalesce(text, ''), 128) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1""")
+def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security events of connections that no whitelist holds, and of documents marked bad as if their signature were."""
+    at = F.lit("2024-01-01 00:00:00")
+    net_rows = _violations(spark, sf_dir).select("doc_id", reports.network_event(at, F.col("remote_ip"), F.lit("")).alias("e"))
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    signed = table(spark, sf_dir, "documents").join(bad, "doc_id").select("doc_id", reports.signature_event(at, F.col("text")).alias("e"))
+    e = net_rows.unionByName(signed)
+    return e.select("doc_id", *[F.col(f"e.{n}").cast("bigint").alias(n) for n in ("event_type", "risk")], "e.event_sub_type", "e.msg")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files made of documents to alert records: PDF files by type, pages and marker, texts by all detectors in order."""
     return _pdf_alerts(spark, sf_dir).drop("doc_id").unionByName(_alerts(spark, sf_dir))
