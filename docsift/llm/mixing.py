@@ -114,6 +114,7 @@ def mix(
         sources, F.col("own").eqNullSafe(F.col("source"))
     ).select("id", "rank", "size", "h", "start", "source_size", "target")
     placed = common.written(named.withColumn("row", F.monotonically_increasing_id()))
+    common.discard(d)
     slots_of = schedule(spark, sources, -(-total // tokens))
     held = placed.where("size > 0").select("row", "rank", "size", F.round("target").cast("long").alias("most"), F.explode(F.expr(f"transform(sequence(0, {epochs - 1}), e -> e * source_size + start)")).alias("at")).where("at < most")
     held = held.withColumn("to", F.least(F.col("at") + F.col("size"), F.col("most")))
