@@ -100,3 +100,13 @@ def test_monitor_counts_every_odd_check(spark):
     assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 1), (1, 2, 4, 2), (2, 3, 6, 4)]
     none = files.where("false")
     assert monitor.totals(monitor.counted(none), monitor.integrity_seen(none, base), once=False).count() == 0
+
+
+def test_a_scan_of_many_files_is_few_micro_batches(spark, tmp_path, monkeypatch):
+    from docsift.plans import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    batches, put = [], streams.to_table
+    monkeypatch.setattr(streams, "to_table", lambda path: lambda df, batch: (batches.append(batch), put(path)(df, batch)))
+    got = queries.integrity_watch_alerts(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) > 200 and len(set(batches)) <= 5
