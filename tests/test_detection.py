@@ -234,3 +234,16 @@ def test_dispatch_of_odd_files(spark):
     assert hit(image_text=F.col("t"))[4:] == [None, "秘密 (OCR)", "机密 (OCR)", None]
     kinds = d.select(dispatch.electronic_input(F.col("content"), F.lit("x.pdf"))).collect()
     assert [k[0] for k in kinds] == [None, None, None, None, *["image"] * 4]
+
+
+def test_garbage_share_takes_one_pass_over_any_text(spark):
+    from docsift.operators import style
+
+    texts = ["", None, "a", "aab", "😀" * 3 + "b", "\U0010fffd", "\x00\x00x", "".join(map(chr, range(0x4E00, 0x9000))) + "a" * 7]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = style.is_garbage(df, "doc_id", "text", 0.5)
+    got = {r.doc_id: (r.top_share, r.is_garbage) for r in out.collect()}
+    share = {i: t and max(t.count(c) for c in set(t)) / len(t) for i, t in enumerate(texts) if t is not None}
+    assert got == {i: (None, None) if t is None else (share[i] or 0.0, (share[i] or 0.0) > 0.5) for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().toString()  # a replacement for each different character took time by their number
+    assert "ArrowEvalPython" in plan and "array_distinct" not in plan
