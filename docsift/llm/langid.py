@@ -104,17 +104,18 @@ class Model:
                 parts.append(gains + length[:, None] * self.never)
         return (np.concatenate(parts) if parts else np.zeros((0, n))), len(g)
 
-    def surplus(self, text: str) -> float | None:
-        """By how much a trigram is likelier than the limit, each segment under the language that explains it best.
+    def surplus(self, text: str, chosen: list[str]) -> float | None:
+        """By how much a trigram is likelier than the limit, each segment under that of the chosen languages which explains it best.
 
-        None without letters or languages. At least 0: text of the languages, however many it has.
+        None without letters or chosen languages. At least 0: text of those languages, however many they are.
         """
         segs, n = self.segments(text)
-        if not segs.size:
+        if not segs.size or not chosen:
             return None
+        at = [self.languages.index(k) for k in chosen]
         length = np.full(len(segs), SEGMENT)
         length[-1] = n - SEGMENT * (len(segs) - 1)
-        return float((segs - length[:, None] * self.least).max(axis=1).sum() / n)
+        return float((segs[:, at] - length[:, None] * self.least[at]).max(axis=1).sum() / n)
 
     def mixtures(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, float]]]]:
         """For each text the language, its score, and the set kept with proportions; und, 0, [] without letters.
@@ -236,23 +237,13 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAM
     return Model(languages, key % BUCKETS, key // BUCKETS, n)
 
 
-def with_surplus(docs: DataFrame, model: Model, text_col: str = "text", name: str = "surplus") -> DataFrame:
-    """docs with Model.surplus of the text; null where there is none."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams that each language has, BUCKETS at most
-
-    @F.pandas_udf("double")
-    def surplus(t):
-        import pandas as pd
-
-        return pd.Series([held.value.surplus(x) for x in t], dtype="float64")
+def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", surplus: bool = False) -> DataFrame:
+    """docs with lang_pred, score and mixture (array of language and proportion).
 
-    return docs.withColumn(name, surplus(common.text_of(text_col)))
-
-
-def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and mixture (array of language and proportion)."""
+    surplus: also Model.surplus of the text under the languages of its mixture; null without letters.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams that each language has, BUCKETS at most
-    kind = "lang_pred string, score double, mixture array<struct<language:string,proportion:double>>"
+    kind = "lang_pred string, score double, mixture array<struct<language:string,proportion:double>>" + (", surplus double" if surplus else "")
 
     @F.pandas_udf(kind)
     def guess(t):
@@ -265,13 +256,17 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             if cells > CELLS or i == len(texts):
                 rows += held.value.mixtures(texts[at:i])
                 at, cells = i, 0
-        return pd.DataFrame({
+        out = pd.DataFrame({
             "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
             "mixture": [[{"language": a, "proportion": p} for a, p in r[2]] for r in rows],
         })
+        if surplus:
+            over = [held.value.surplus(x, [k for k, _ in r[2]]) for x, r in zip(texts, rows)]
+            out["surplus"] = pd.Series(over, dtype="float64")
+        return out
 
     out = docs.withColumn("_guess", guess(common.text_of(text_col)))
-    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "mixture")], "_guess.*")
+    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "mixture", "surplus")], "_guess.*")
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, held: int = HELD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

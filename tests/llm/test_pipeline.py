@@ -151,3 +151,16 @@ def test_numbers_hold_when_a_scan_is_planned_anew(spark):
         assert numbers() == first
     finally:
         spark.conf.set(size, before)
+
+
+def test_language_stage_decides_by_the_mixture(spark, tables, monkeypatch):
+    from docsift.llm import langid
+
+    docs = common.table(spark, tables, "documents")
+    model, texts = langid.fit(docs), [r.text for r in docs.where("doc_id in (1, 2, 3, 4, 5, 7)").collect()]
+    both = " ".join(texts)
+    alone, mixed = model.surplus(both, ["en"]), model.surplus(both, [k for k, _ in model.mixtures([both])[0][2]])
+    assert alone < mixed and mixed >= 0 and model.surplus("1 2", []) is None
+    asked, chosen = [], langid.predicted
+    monkeypatch.setattr(langid, "predicted", lambda *a, **b: (asked.append(1), chosen(*a, **b))[1])
+    assert cp.known_language(spark, docs, tables).count() > 250 and asked
