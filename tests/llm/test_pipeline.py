@@ -1,9 +1,11 @@
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
 from docsift.llm import common, simhash
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int, mixture string"
 
@@ -164,3 +166,59 @@ def test_language_stage_decides_by_the_mixture(spark, tables, monkeypatch):
     asked, chosen = [], langid.predicted
     monkeypatch.setattr(langid, "predicted", lambda *a, **b: (asked.append(1), chosen(*a, **b))[1])
     assert cp.known_language(spark, docs, tables).count() > 250 and asked
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return [f for d in dirs for at, _, names in os.walk(d) for f in names if f.startswith("shuffle_")]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = set(_shuffle_files(spark))
+    t = common.written(spark.range(50_000).groupBy((F.col("id") % 7_000).alias("k")).agg(F.count("*").alias("n")))
+    assert t.count() == 7_000 and t.agg(F.sum("n")).first()[0] == 50_000
+    t = common.written(spark.range(50_000).groupBy((F.col("id") % 7_000).alias("k")).agg(F.count("*").alias("n")))
+    left = {f for f in set(_shuffle_files(spark)) - before if f.endswith(".data")}
+    assert len(left) <= 1  # of the count
+
+
+def test_dedup_and_mixing_neither_copy_nor_move_texts(spark, tables, monkeypatch):
+    docs, stored, put = common.table(spark, tables, "documents"), [], common.written
+    monkeypatch.setattr(common, "written", lambda df, *a: (stored.append(df.columns), put(df, *a))[1])
+    for stage in (cp.one_of_near_duplicates, cp.mixed_sources):
+        out = stage(spark, docs, tables)
+        assert out.count() > 200 and out.schema.names == docs.schema.names
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(_docsift_row" not in plan
+    assert stored and not [c for c in stored if "text" in c]
+
+
+def test_chosen_rows_come_as_often_as_marked(spark):
+    ids = [-130, -64, -1, 0, 1, 63, 64, 127, 5 << 40, (5 << 40) + 63]
+    rows = spark.createDataFrame([(i, str(i)) for i in ids + [2, 65, 6 << 40]], "id long, text string")
+    once = common.chosen(rows, "id", common.marks(spark.createDataFrame([(i,) for i in ids + ids[:3]], "id long"), "id"))
+    assert sorted(r.id for r in once.collect()) == ids and once.columns == rows.columns
+    often = spark.createDataFrame([(i, t) for n, i in enumerate(ids) for t in range(n % 3)], "id long, time int")
+    got = Counter(r.id for r in common.chosen(rows, "id", common.marks(often, "id", "time")).collect())
+    assert got == Counter({i: n % 3 for n, i in enumerate(ids) if n % 3})
+
+
+def test_tables_some_at_a_time_give_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(900)}" for _ in range(120)]
+        for k in range(4):
+            w = list(base)
+            for at in rng.sample(range(120), 2 * k):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * i + k, " ".join(w)))
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept, asked, post = [], [], simhash._wide_postings
+    monkeypatch.setattr(simhash, "_wide_postings", lambda n, bits, tables, some: (asked.append(len(some)), post(n, bits, tables, some))[1])
+    for most in (7, 1000):
+        monkeypatch.setattr(simhash, "AT_ONCE", most)
+        asked.clear()
+        kept.append(sorted(r.doc_id for r in simhash.first_of_similar(docs).collect()))
+        assert max(asked) <= most and sum(asked) == 2 * simhash.tables_for(160)[1]
+    assert kept[0] == kept[1] and 40 <= len(kept[0]) < 160
