@@ -110,3 +110,55 @@ def test_a_scan_of_many_files_is_few_micro_batches(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(streams, "to_table", lambda path: lambda df, batch: (batches.append(batch), put(path)(df, batch)))
     got = queries.integrity_watch_alerts(spark, str(tmp_path)).collect()
     assert sum(r.n for r in got) > 200 and len(set(batches)) <= 5
+
+
+def test_state_is_asked_once_a_rule_not_once_an_operation():
+    import pandas as pd
+
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.value, self.rules = None, {}
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None or bool(self.rules)
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def containsKey(self, k):  # noqa: N802
+            calls.append("contains")
+            return k in self.rules
+
+        def getValue(self, k):  # noqa: N802
+            calls.append("value")
+            return self.rules[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            calls.append("update")
+            self.rules[k] = v
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: Held()
+
+    p = stateful._Policy()
+    p.init(Handle())
+    for start, ok in ((0, 4998), (5000, 5000)):  # rules 3 and 7 are deleted before they are added
+        calls.clear()
+        ops = pd.DataFrame({"version": range(start, start + 5000), "cmd": ["add", "add", "add", "del"] * 1250, "rule_id": [i % 10 for i in range(5000)], "rule_content": "c"})
+        out = pd.concat(p.handleInputRows(("m", 0), iter([ops]), None))
+        assert len(out) == 5000 and out["ok"].sum() == ok and len(calls) <= 40
+    assert {k: v[0] for k, v in p.rules.rules.items()} == {(i,): 9990 + i for i in range(10)}
+
+
+def test_large_rule_ids_stay_exact_beside_a_reset(spark, tmp_path):
+    big = (1 << 60) + 1
+    ops = [("a", 1, "reset", None, None), ("a", 2, "add", big, "x"), ("a", 3, "del", big, None), ("a", 4, "del", big, None)]
+    done = run(spark, stateful.policy_outcomes(fed(spark, f"{tmp_path}/in", [ops], OPS)), tmp_path)
+    assert sorted((r.version, r.rule_id, r.msg) for r in done) == [(2, big, None), (3, big, None), (4, big, "unknown rule")]
