@@ -108,13 +108,15 @@ class Stores:
     def _fronts(self, rows: DataFrame) -> DataFrame:
         """rows with first: among the first of their store since a flush, up to its limit.
 
-        The window's limit is applied in each task before rows meet, so a store of any size sends few.
+        The window's limit is applied in each task before rows meet, so a store of any size sends few. Where a
+        front ends is a row for each store and flush, which is broadcast: the records stay where they are.
         """
         most = max(self.limits.values(), default=0)
         by = Window.partitionBy("store", "since").orderBy("push", "row")
         ids = rows.select("store", "since", "push", "row").withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
-        firsts = ids.where(F.col("n") <= self._limit()).select("push", "row", F.lit(True).alias("first"))
-        return rows.join(firsts, ["push", "row"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+        ends = ids.where(F.col("n") <= self._limit()).groupBy("store", "since").agg(F.max(F.struct("push", "row")).alias("end"))
+        first = F.coalesce(F.struct("push", "row") <= F.col("end"), F.lit(False))
+        return rows.join(F.broadcast(ends), ["store", "since"], "left").withColumn("first", first).drop("end")
 
     def _limit(self) -> Column:
         limit = F.lit(0)

@@ -90,3 +90,18 @@ def test_arguments(spark, tmp_path):
     for wrong in ({"key": b"short"}, {"key": KEY, "limits": {"a": -1}}):
         with pytest.raises(ValueError):
             stores.Stores(spark, str(tmp_path), **wrong)
+
+
+def test_records_move_for_their_order_alone(spark):
+    from docsift.plans import queries
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")  # as if tables were large
+        out = queries.store_lines(spark, "/root/testdata/sf0.001")
+        assert out.count() == 1000
+        plans = [out, stores.Stores(spark, "/nowhere", KEY)._fronts(spark.createDataFrame([("alerts", 1, 0, 1, b"")], stores.ROW))]
+        assert not [p for p in plans if "SortMergeJoin" in p._jdf.queryExecution().executedPlan().toString()]
+    finally:
+        spark.conf.set(key, before)
