@@ -222,3 +222,38 @@ def test_tables_some_at_a_time_give_the_same(spark, monkeypatch):
         kept.append(sorted(r.doc_id for r in simhash.first_of_similar(docs).collect()))
         assert max(asked) <= most and sum(asked) == 2 * simhash.tables_for(160)[1]
     assert kept[0] == kept[1] and 40 <= len(kept[0]) < 160
+
+
+def _crowd(rng, first, n):
+    """n texts near one base; most pairs are similar, but the least id to few."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(300), 5 if k == 0 else rng.randrange(2, 5)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        yield first + k, " ".join(w)
+
+
+def test_a_linked_group_is_not_paired_up(spark, monkeypatch):
+    rng, pairs, put = random.Random(4), [], common.written
+    docs = put(spark.createDataFrame(list(_crowd(rng, 0, 400)), "doc_id long, text string"))
+
+    def stored(df, *a):
+        out = put(df, *a)
+        if out.columns == ["a", "b", "d"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", stored)
+    assert simhash.first_of_similar(docs).count() == 1
+    assert pairs and sum(pairs) <= 400  # of 79,800
+
+
+def test_texts_unlike_all_others_are_posted_once(spark, monkeypatch):
+    rng, posted, post = random.Random(6), [], simhash._wide_postings
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(100))) for i in range(500)]
+    docs = common.written(spark.createDataFrame(rows + list(_crowd(rng, 1000, 80)), "doc_id long, text string"))
+    monkeypatch.setattr(simhash, "_wide_postings", lambda n, bits, tables, some: (posted.append((some.start, n.count())), post(n, bits, tables, some))[1])
+    got = {r.doc_id for r in simhash.first_of_similar(docs).collect()}
+    again = [n for at, n in posted if at == 0][1:]
+    assert got == {*range(500), 1000} and again == [80]
